@@ -393,3 +393,42 @@ def endpoint_delta_dataset(
 
 def schema_of(df: DataFrame) -> T.StructType:  # small helper for tests
     return df.schema
+
+
+def cohort_counts(visits: DataFrame, result: HorizonResult) -> DataFrame:
+    """AGG5: records, subjects, baseline subjects and the AGG4 numbers, one row.
+
+    One aggregate over (per-subject rows UNION per-subject pairing flags);
+    the per-subject pre-aggregation collapses hot subjects map-side.
+    """
+    per_subject = visits.groupBy("PATNO").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(label_norm("EVENT_ID") == "BL").alias("bl"),
+    )
+    flags = per_subject.select(
+        F.col("n").alias("records"),
+        F.when(F.col("PATNO").isNotNull(), 1).otherwise(0).alias("patient"),
+        F.when(F.col("PATNO").isNotNull() & F.col("bl"), 1).otherwise(0).alias("bl_patient"),
+        F.lit(0).alias("usable"), F.lit(0).alias("kept"),
+    ).unionByName(
+        result.baselines.select(
+            F.lit(0).alias("records"), F.lit(0).alias("patient"), F.lit(0).alias("bl_patient"),
+            F.col("usable").cast("int").alias("usable"), F.lit(0).alias("kept"),
+        )
+    ).unionByName(
+        result.pairs.select(
+            F.lit(0).alias("records"), F.lit(0).alias("patient"), F.lit(0).alias("bl_patient"),
+            F.lit(0).alias("usable"), F.lit(1).alias("kept"),
+        )
+    )
+    s = flags.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+                    for c in ("records", "patient", "bl_patient", "usable", "kept")])
+    return s.select(
+        F.col("records").alias("visit_records"),
+        F.col("patient").alias("unique_patients"),
+        F.col("bl_patient").alias("baseline_patients"),
+        F.col("usable").alias("usable_baseline_patients"),
+        F.col("kept").alias("retained_patients"),
+        (F.col("bl_patient") - F.col("usable")).alias("excluded_invalid_baseline"),
+        (F.col("usable") - F.col("kept")).alias("excluded_missing_follow_up"),
+    )

@@ -103,3 +103,126 @@ def val18_endpoint_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return horizon.endpoint_delta_dataset(
         visit_table(spark, sf_dir), "SCORE", ["ACCTBAL", "SUM_QTY"], ("BL", "V2")
     )
+
+
+# ------------------------------------------------------ cohort and endpoint
+
+from horizonkit.operators import cohort as C  # noqa: E402
+from horizonkit.operators import harmonize as H  # noqa: E402
+from horizonkit.sources import files as SRC  # noqa: E402
+from horizonkit.sources import sinks as SNK  # noqa: E402
+from horizonkit.sources.tables import (  # noqa: E402
+    visit_export,
+    visit_text_export,
+    visits_with_gaps,
+)
+
+ELIGIBLE_GROUPS = ("BUILDING", "MACHINERY")
+SCORE_BOUNDS = (1000.0, 400000.0)
+
+
+def _cohort(spark: SparkSession, sf_dir: str) -> C.StagedResult:
+    return C.select_cohort(visits_with_gaps(spark, sf_dir), ELIGIBLE_GROUPS, ("BL",))
+
+
+def _endpoint(spark: SparkSession, sf_dir: str) -> C.StagedResult:
+    return C.apply_endpoint(
+        _cohort(spark, sf_dir).data, "score", "SCORE", "OFF",
+        minimum_score=SCORE_BOUNDS[0], maximum_score=SCORE_BOUNDS[1],
+    )
+
+
+@register("agg2_cohort_ledger")
+def agg2_cohort_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cohort(spark, sf_dir).flow
+
+
+@register("jn6_cohort_records")
+def jn6_cohort_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cohort(spark, sf_dir).data
+
+
+@register("agg3_endpoint_ledger")
+def agg3_endpoint_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _endpoint(spark, sf_dir).flow
+
+
+@register("prj7_endpoint_records")
+def prj7_endpoint_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _endpoint(spark, sf_dir).data
+
+
+@register("agg5_cohort_counts")
+def agg5_cohort_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.flagship_task()
+    visits = visit_table(spark, sf_dir, features=False)
+    res = horizon.fixed_horizon_result(visits, t.horizon_days, t.tolerance_days)
+    return horizon.cohort_counts(visits, res)
+
+
+@register("prj1_harmonize")
+def prj1_harmonize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.harmonize_schema(visit_export(spark, sf_dir), "updrs3_score")
+
+
+# Column map and feature blocks of the export view (canonical -> source).
+EXPORT_COLUMN_MAP = {
+    "PATNO": "PATNO",
+    "EVENT_ID": "EVENT_ID",
+    "VISIT_DATE": "visit_date",
+    "DIAGNOSTIC_GROUP": "dx_group",
+    "SCORE": "updrs3_score",
+    "MEDICATION_STATE": "med_state_raw",
+}
+EXPORT_FEATURE_BLOCKS = {
+    "demographics_disease_history": ["moca"],
+    "baseline_motor": ["SUM_QTY"],
+    "cognition_neuropsychology": ["moca", "N_LINES"],
+    "olfaction_sleep_autonomic": ["MAX_DISC"],
+    "biofluid_biomarkers": [],
+    "imaging_dat_spect": [],
+    "genetic_variables": ["N_LINES"],
+}
+
+
+@register("prj2_harmonize_features")
+def prj2_harmonize_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.harmonize_canonical(
+        visit_export(spark, sf_dir), EXPORT_COLUMN_MAP, EXPORT_FEATURE_BLOCKS,
+        {"MEDICATION_STATE": "OFF"}, row_id="ROW_ID",
+    )
+
+
+TEXT_CONTRACT = {"PATNO": "double", "EVENT_ID": "string", "visit_date": "date", "updrs3_score": "double"}
+
+
+@register("src2_contract_report")
+def src2_contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SRC.contract_report(visit_text_export(spark, sf_dir), TEXT_CONTRACT)
+
+
+@register("src3_normalise_visits")
+def src3_normalise_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SRC.normalise_visits(visit_text_export(spark, sf_dir))
+
+
+@register("src4_split_genetics")
+def src4_split_genetics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = SRC.split_wide_table(
+        visit_table(spark, sf_dir),
+        {"clinical": ["SCORE", "MEDICATION_STATE"], "genetics": ["DIAGNOSTIC_GROUP", "ACCTBAL", "ROW_ID"]},
+    )
+    return parts["genetics"]
+
+
+@register("snk3_table_fingerprint")
+def snk3_table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from horizonkit.sources.tables import read_table
+
+    orders = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus",
+        F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"),
+        "o_orderpriority",
+    )
+    return SNK.table_fingerprint(orders)

@@ -235,3 +235,168 @@ j AS (SELECT v.PATNO, v.EVENT_ID, v.VISIT_DATE, v.ROW_ID, v.SCORE, b.baseline_da
       FROM visits v JOIN b ON v.PATNO = b.PATNO AND b.rn = 1
       WHERE v.SCORE IS NOT NULL AND v.VISIT_DATE IS NOT NULL)
 SELECT *, SCORE - SCORE_baseline AS SCORE_delta FROM j WHERE time_from_baseline_days > 0"""
+
+
+# ------------------------------------------------------ cohort and endpoint
+
+GAP_VISITS = """gv AS (
+  SELECT CASE WHEN ROW_ID % 23 = 0 THEN NULL ELSE PATNO END AS PATNO, EVENT_ID, VISIT_DATE,
+         CASE WHEN ROW_ID % 17 = 0 THEN NULL ELSE SCORE END AS SCORE,
+         CASE WHEN ROW_ID % 29 = 0 THEN ' ' || lower(DIAGNOSTIC_GROUP) || ' ' ELSE DIAGNOSTIC_GROUP END
+           AS DIAGNOSTIC_GROUP,
+         MEDICATION_STATE, ROW_ID, ACCTBAL, N_LINES, SUM_QTY, MAX_DISC
+  FROM visits),
+c AS (SELECT *, coalesce(upper(trim(DIAGNOSTIC_GROUP)) IN ('BUILDING', 'MACHINERY'), false) AS g,
+             coalesce(upper(trim(EVENT_ID)) IN ('BL'), false) AS e FROM gv),
+blp AS (SELECT DISTINCT PATNO FROM c WHERE PATNO IS NOT NULL AND g AND e),
+cohort AS (SELECT PATNO, EVENT_ID, VISIT_DATE, SCORE, DIAGNOSTIC_GROUP, MEDICATION_STATE, ROW_ID,
+                  ACCTBAL, N_LINES, SUM_QTY, MAX_DISC
+           FROM c WHERE PATNO IS NOT NULL AND g AND PATNO IN (SELECT PATNO FROM blp))"""
+
+MED_MAP = """CASE upper(trim(MEDICATION_STATE))
+  WHEN 'ON' THEN 'ON' WHEN 'ON MEDICATION' THEN 'ON' WHEN 'ON_MEDICATION' THEN 'ON' WHEN '1' THEN 'ON'
+  WHEN 'OFF' THEN 'OFF' WHEN 'OFF MEDICATION' THEN 'OFF' WHEN 'OFF_MEDICATION' THEN 'OFF' WHEN '0' THEN 'OFF' END"""
+
+ENDPOINT = f"""es AS (SELECT *, (SCORE IS NOT NULL AND SCORE >= 1000.0 AND SCORE <= 400000.0) AS valid,
+             {MED_MAP} AS st FROM cohort)"""
+
+
+def _stage_select(component: str) -> str:
+    return f"""SELECT CAST(stage_order AS INTEGER) AS stage_order, stage,
+       CAST(r AS BIGINT) AS records_retained, CAST(p AS BIGINT) AS patients_retained,
+       CAST(coalesce(lag(r) OVER (ORDER BY stage_order), r) - r AS BIGINT) AS records_excluded_at_stage,
+       CAST(coalesce(lag(p) OVER (ORDER BY stage_order), p) - p AS BIGINT) AS patients_excluded_at_stage,
+       exclusion_reason, '{component}' AS flow_component
+FROM st"""
+
+
+@oracle("agg2_cohort_ledger")
+def _agg2() -> str:
+    return f"""WITH {LI_FEATURES}, {VISITS}, {GAP_VISITS},
+st AS (
+  SELECT 1 AS stage_order, 'input' AS stage, count(*) AS r, count(DISTINCT PATNO) AS p,
+         'All input records' AS exclusion_reason FROM c
+  UNION ALL SELECT 2, 'valid_patient_identifier', count(*), count(DISTINCT PATNO),
+         'Missing patient identifier' FROM c WHERE PATNO IS NOT NULL
+  UNION ALL SELECT 3, 'eligible_diagnostic_group', count(*), count(DISTINCT PATNO),
+         'Control or unrelated diagnostic group' FROM c WHERE PATNO IS NOT NULL AND g
+  UNION ALL SELECT 4, 'baseline_eligible', count(*), count(DISTINCT PATNO),
+         'No eligible baseline event' FROM cohort)
+{_stage_select('cohort')}"""
+
+
+@oracle("jn6_cohort_records")
+def _jn6() -> str:
+    return f"WITH {LI_FEATURES}, {VISITS}, {GAP_VISITS} SELECT * FROM cohort"
+
+
+@oracle("agg3_endpoint_ledger")
+def _agg3() -> str:
+    return f"""WITH {LI_FEATURES}, {VISITS}, {GAP_VISITS}, {ENDPOINT},
+st AS (
+  SELECT 1 AS stage_order, 'endpoint_input' AS stage, count(*) AS r, count(DISTINCT PATNO) AS p,
+         'All cohort-eligible records' AS exclusion_reason FROM es
+  UNION ALL SELECT 2, 'valid_endpoint_score', count(*), count(DISTINCT PATNO),
+         'Missing or out-of-range endpoint score' FROM es WHERE valid
+  UNION ALL SELECT 3, 'medication_state_off', count(*), count(DISTINCT PATNO),
+         'Endpoint requires OFF medication state' FROM es WHERE valid AND st = 'OFF')
+{_stage_select('endpoint')}"""
+
+
+@oracle("prj7_endpoint_records")
+def _prj7() -> str:
+    return f"""WITH {LI_FEATURES}, {VISITS}, {GAP_VISITS}, {ENDPOINT}
+SELECT PATNO, EVENT_ID, VISIT_DATE, SCORE, DIAGNOSTIC_GROUP, st AS MEDICATION_STATE, ROW_ID,
+       ACCTBAL, N_LINES, SUM_QTY, MAX_DISC
+FROM es WHERE valid AND st = 'OFF'"""
+
+
+@oracle("agg5_cohort_counts")
+def _agg5() -> str:
+    return _ledger_counts([T.flagship_task()]) + """,
+vc AS (SELECT count(*) AS n, count(DISTINCT PATNO) AS np,
+              count(DISTINCT CASE WHEN upper(trim(EVENT_ID)) = 'BL' THEN PATNO END) AS nb FROM visits)
+SELECT CAST(n AS BIGINT) AS visit_records, CAST(np AS BIGINT) AS unique_patients,
+       CAST(nb AS BIGINT) AS baseline_patients, CAST(u AS BIGINT) AS usable_baseline_patients,
+       CAST(r AS BIGINT) AS retained_patients, CAST(nb - u AS BIGINT) AS excluded_invalid_baseline,
+       CAST(u - r AS BIGINT) AS excluded_missing_follow_up
+FROM vc, upat, kept"""
+
+
+@oracle("prj1_harmonize")
+def _prj1() -> str:
+    return f"WITH {LI_FEATURES}, {VISITS} SELECT PATNO, EVENT_ID, SCORE, VISIT_DATE FROM visits"
+
+
+@oracle("prj2_harmonize_features")
+def _prj2() -> str:
+    return f"""WITH {LI_FEATURES}, {VISITS}
+SELECT PATNO, EVENT_ID, VISIT_DATE, DIAGNOSTIC_GROUP, SCORE, ACCTBAL AS moca, SUM_QTY, N_LINES,
+       MAX_DISC, 'OFF' AS MEDICATION_STATE, ROW_ID
+FROM visits"""
+
+
+TEXT_EXPORT = """tx AS (
+  SELECT CASE WHEN ROW_ID % 31 = 0 THEN 'unknown'
+              WHEN ROW_ID % 37 = 0 THEN CAST(PATNO AS VARCHAR) || '.0'
+              ELSE CAST(PATNO AS VARCHAR) END AS PATNO,
+         CASE WHEN ROW_ID % 41 = 0 THEN NULL ELSE ' ' || EVENT_ID || ' ' END AS EVENT_ID,
+         CASE WHEN ROW_ID % 43 = 0 THEN 'not a date'
+              WHEN ROW_ID % 3 = 0 THEN strftime(VISIT_DATE, '%Y-%m-%d')
+              WHEN ROW_ID % 3 = 1 THEN strftime(VISIT_DATE, '%m/%d/%Y')
+              ELSE strftime(VISIT_DATE, '%b %-d, %Y') END AS visit_date,
+         CASE WHEN ROW_ID % 19 = 0 THEN 'n/a' ELSE CAST(SCORE AS VARCHAR) END AS updrs3_score,
+         CAST(ROW_ID AS VARCHAR) AS ROW_ID
+  FROM visits)"""
+
+
+@oracle("src2_contract_report")
+def _src2() -> str:
+    parts = []
+    for name, dtype in (("PATNO", "DOUBLE"), ("EVENT_ID", "VARCHAR"), ("visit_date", "DATE"),
+                        ("updrs3_score", "DOUBLE")):
+        decl = {"DOUBLE": "double", "VARCHAR": "string", "DATE": "date"}[dtype]
+        parts.append(
+            f"SELECT '{name}' AS column_name, '{decl}' AS declared_type, CAST(count(*) AS BIGINT) AS rows, "
+            f"CAST(count(*) FILTER (WHERE {name} IS NULL) AS BIGINT) AS nulls, "
+            f"CAST(count(*) FILTER (WHERE {name} IS NOT NULL AND try_cast({name} AS {dtype}) IS NULL) AS BIGINT) "
+            f"AS failed_casts FROM tx"
+        )
+    return f"WITH {LI_FEATURES}, {VISITS}, {TEXT_EXPORT}\n" + "\nUNION ALL\n".join(parts)
+
+
+PARSED_DATE = """coalesce(try_cast(trim(visit_date) AS TIMESTAMP),
+                  try_strptime(trim(visit_date), '%m/%d/%Y'),
+                  try_strptime(trim(visit_date), '%b %d, %Y'))"""
+
+
+@oracle("src3_normalise_visits")
+def _src3() -> str:
+    return f"""WITH {LI_FEATURES}, {VISITS}, {TEXT_EXPORT},
+p AS (SELECT try_cast(PATNO AS DOUBLE) AS PATNO, trim(EVENT_ID) AS EVENT_ID, {PARSED_DATE} AS visit_date,
+             try_cast(updrs3_score AS DOUBLE) AS updrs3_score, ROW_ID FROM tx)
+SELECT CAST(PATNO AS BIGINT) AS PATNO, EVENT_ID, visit_date, updrs3_score, ROW_ID
+FROM p WHERE PATNO IS NOT NULL AND EVENT_ID IS NOT NULL AND visit_date IS NOT NULL"""
+
+
+@oracle("src4_split_genetics")
+def _src4() -> str:
+    return f"""WITH {LI_FEATURES}, {VISITS}
+SELECT PATNO, DIAGNOSTIC_GROUP, ACCTBAL, ROW_ID FROM (
+  SELECT *, row_number() OVER (PARTITION BY PATNO ORDER BY ROW_ID) AS rn
+  FROM visits WHERE PATNO IS NOT NULL) q WHERE rn = 1"""
+
+
+@oracle("snk3_table_fingerprint")
+def _snk3() -> str:
+    fields = [
+        "CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus",
+        "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)", "strftime(o_orderdate, '%Y-%m-%d')",
+        "o_orderpriority",
+    ]
+    text = ", ".join(f"coalesce({f}, '\\N')" for f in fields)
+    return f"""WITH o AS (SELECT md5(concat_ws('|', {text})) AS h FROM orders)
+SELECT CAST(count(*) AS BIGINT) AS rows,
+       CAST(bit_xor(('0x' || substr(h, 1, 15))::BIGINT) AS VARCHAR) AS xor_lane,
+       CAST(sum(CAST(('0x' || substr(h, 25, 8))::BIGINT AS DECIMAL(38,0))) AS VARCHAR) AS sum_lane
+FROM o"""

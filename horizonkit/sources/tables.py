@@ -111,3 +111,68 @@ def lineitem_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("y_value"),
         (F.col("l_quantity") * F.lit(CONTINUOUS_PRICE_FACTOR)).alias("y_estimate"),
     )
+
+
+def visits_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visit table with deterministic gaps, so ledgers see every exclusion.
+
+    Every row is kept; some values are blanked or re-spelled by a rule on the
+    order key: subject id missing (key % 23 = 0), score missing (% 17 = 0),
+    group label in lower case with padding (% 29 = 0).
+    """
+    v = visit_table(spark, sf_dir)
+    rid = F.col("ROW_ID")
+    return v.withColumns(
+        {
+            "PATNO": F.when(rid % 23 == 0, F.lit(None).cast("bigint")).otherwise(F.col("PATNO")),
+            "SCORE": F.when(rid % 17 == 0, F.lit(None).cast("double")).otherwise(F.col("SCORE")),
+            "DIAGNOSTIC_GROUP": F.when(
+                rid % 29 == 0, F.concat(F.lit(" "), F.lower("DIAGNOSTIC_GROUP"), F.lit(" "))
+            ).otherwise(F.col("DIAGNOSTIC_GROUP")),
+        }
+    )
+
+
+def visit_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export-style column names (as a clinical visit export would carry)."""
+    v = visit_table(spark, sf_dir)
+    return v.select(
+        "PATNO", "EVENT_ID",
+        F.col("VISIT_DATE").alias("visit_date"),
+        F.col("SCORE").alias("updrs3_score"),
+        F.col("DIAGNOSTIC_GROUP").alias("dx_group"),
+        F.col("MEDICATION_STATE").alias("med_state_raw"),
+        F.col("ACCTBAL").alias("moca"),
+        "ROW_ID", "N_LINES", "SUM_QTY", "MAX_DISC",
+    )
+
+
+def visit_text_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-text export with mixed date layouts and junk values (for SRC3).
+
+    Rules on the order key: id 'unknown' (% 31), id written '123.0' (% 37),
+    event missing (% 41), date layouts by key % 3 (ISO, MM/dd/yyyy,
+    'MMM d, yyyy'), unparseable date (% 43), score 'n/a' (% 19).
+    """
+    v = visit_table(spark, sf_dir, features=False)
+    rid = F.col("ROW_ID")
+    d = F.col("VISIT_DATE")
+    date_text = (
+        F.when(rid % 43 == 0, F.lit("not a date"))
+        .when(rid % 3 == 0, F.date_format(d, "yyyy-MM-dd"))
+        .when(rid % 3 == 1, F.date_format(d, "MM/dd/yyyy"))
+        .otherwise(F.date_format(d, "MMM d, yyyy"))
+    )
+    pat = F.col("PATNO").cast("string")
+    return v.select(
+        F.when(rid % 31 == 0, F.lit("unknown"))
+        .when(rid % 37 == 0, F.concat(pat, F.lit(".0")))
+        .otherwise(pat)
+        .alias("PATNO"),
+        F.when(rid % 41 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit(" "), F.col("EVENT_ID"), F.lit(" ")))
+        .alias("EVENT_ID"),
+        date_text.alias("visit_date"),
+        F.when(rid % 19 == 0, F.lit("n/a")).otherwise(F.col("SCORE").cast("string")).alias("updrs3_score"),
+        rid.cast("string").alias("ROW_ID"),
+    )
