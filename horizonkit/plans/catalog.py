@@ -226,3 +226,108 @@ def snk3_table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderpriority",
     )
     return SNK.table_fingerprint(orders)
+
+
+# --------------------------------------------------------------- folds (VAL)
+
+from horizonkit.operators import folds as FO  # noqa: E402
+from horizonkit.operators import metrics as M  # noqa: E402
+from horizonkit.sources.tables import lineitem_predictions  # noqa: E402
+
+OUTER_SPLITS, REPEATS, INNER_SPLITS, SEED = 5, 2, 3, 42
+
+
+def fold_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per subject of the 24-month binary task, id as ``patient_id``."""
+    fp = horizon.fixed_horizon_features(visit_table(spark, sf_dir), T.feature_task(), list(VISIT_FEATURES))
+    return fp.withColumnRenamed("PATNO", "patient_id")
+
+
+def _strat_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FO.patient_folds(
+        fold_dataset(spark, sf_dir), OUTER_SPLITS, REPEATS, SEED, stratify_col="progression_label"
+    )
+
+
+def _assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FO.fold_assignments(_strat_folds(spark, sf_dir), OUTER_SPLITS, T.feature_task().task_id)
+
+
+@register("val1_patient_folds")
+def val1_patient_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FO.patient_folds(fold_dataset(spark, sf_dir), OUTER_SPLITS, 1, shuffle=False)
+
+
+@register("val2_repeated_folds")
+def val2_repeated_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FO.patient_folds(fold_dataset(spark, sf_dir), OUTER_SPLITS, REPEATS, SEED)
+
+
+@register("val3_stratified_folds")
+def val3_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strat_folds(spark, sf_dir)
+
+
+@register("val4_shuffle_split")
+def val4_shuffle_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FO.grouped_shuffle_split(fold_dataset(spark, sf_dir), 0.2, SEED)
+
+
+@register("val5_inner_folds")
+def val5_inner_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FO.inner_folds(
+        _strat_folds(spark, sf_dir), OUTER_SPLITS, INNER_SPLITS, SEED, stratify_col="progression_label"
+    )
+
+
+@register("val6_fold_assignments")
+def val6_fold_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assignments(spark, sf_dir)
+
+
+@register("jn8_overlap_report")
+def jn8_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FO.overlap_report(_assignments(spark, sf_dir))
+
+
+@register("agg17_fold_audit")
+def agg17_fold_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FO.fold_audit(_assignments(spark, sf_dir))
+
+
+@register("agg7_class_feasibility")
+def agg7_class_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FO.class_feasibility(fold_dataset(spark, sf_dir), "progression_label", OUTER_SPLITS, INNER_SPLITS)
+
+
+# ------------------------------------------------------------ metrics (AGG)
+
+@register("agg9_regression_metrics")
+def agg9_regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.regression_metrics(lineitem_predictions(spark, sf_dir), ["group_id"], "y_value", "y_estimate")
+
+
+@register("agg10_classification_metrics")
+def agg10_classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.classification_metrics(lineitem_predictions(spark, sf_dir), ["group_id"])
+
+
+@register("win5_roc_points")
+def win5_roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.roc_points(lineitem_predictions(spark, sf_dir), ["group_id"])
+
+
+@register("val13_threshold_youden")
+def val13_threshold_youden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.select_threshold(lineitem_predictions(spark, sf_dir), ["group_id"], method="youden")
+
+
+@register("val13_threshold_f1")
+def val13_threshold_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.select_threshold(lineitem_predictions(spark, sf_dir), ["group_id"], method="f1")
+
+
+@register("agg20_residual_histogram")
+def agg20_residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = lineitem_predictions(spark, sf_dir)
+    return M.residual_histogram(p.select((F.col("y_value") - F.col("y_estimate")).alias("residual")))

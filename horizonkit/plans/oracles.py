@@ -400,3 +400,220 @@ SELECT CAST(count(*) AS BIGINT) AS rows,
        CAST(bit_xor(('0x' || substr(h, 1, 15))::BIGINT) AS VARCHAR) AS xor_lane,
        CAST(sum(CAST(('0x' || substr(h, 25, 8))::BIGINT AS DECIMAL(38,0))) AS VARCHAR) AS sum_lane
 FROM o"""
+
+
+# --------------------------------------------------------------- folds (VAL)
+
+OUTER, REPEATS, INNER, SEED = 5, 2, 3, 42
+
+
+def _ds() -> str:
+    return f"ds AS (SELECT PATNO AS patient_id, progression_label FROM ({_jn4()}) q)"
+
+
+def md5_draw(seed_expr: str, id_expr: str) -> str:
+    return (f"('0x' || substr(md5(CAST({seed_expr} AS VARCHAR) || ':' || CAST({id_expr} AS VARCHAR)), 1, 8))"
+            "::BIGINT")
+
+
+STRAT = f"""rep AS (SELECT d.patient_id, d.progression_label, CAST(t.r AS INTEGER) AS repeat
+        FROM ds d, generate_series(1, {REPEATS}) AS t(r)),
+hs AS (SELECT *, {md5_draw(f'{SEED} + repeat - 1', 'patient_id')} AS hh FROM rep),
+sf AS (SELECT patient_id, progression_label, repeat,
+              CAST((row_number() OVER (PARTITION BY repeat, progression_label ORDER BY hh, patient_id) - 1)
+                   % {OUTER} + 1 AS INTEGER) AS fold FROM hs)"""
+
+
+def _assign_sql() -> str:
+    tid = T.feature_task().task_id
+    return f"""WITH {_ds()}, {STRAT},
+asg AS (SELECT '{tid}' AS configuration_id,
+               '{tid}' || '-r' || CAST(repeat AS VARCHAR) || '-f' || CAST(o.f AS VARCHAR) AS fit_id,
+               repeat, CAST(o.f AS INTEGER) AS outer_fold,
+               CASE WHEN fold = o.f THEN 'test' ELSE 'train' END AS partition, patient_id
+        FROM sf, generate_series(1, {OUTER}) AS o(f))"""
+
+
+@oracle("val1_patient_folds")
+def _val1() -> str:
+    return f"""WITH {_ds()}
+SELECT patient_id, CAST(1 AS INTEGER) AS repeat,
+       CAST((row_number() OVER (ORDER BY patient_id) - 1) % {OUTER} + 1 AS INTEGER) AS fold FROM ds"""
+
+
+@oracle("val2_repeated_folds")
+def _val2() -> str:
+    return f"""WITH {_ds()},
+rep AS (SELECT d.patient_id, CAST(t.r AS INTEGER) AS repeat FROM ds d, generate_series(1, {REPEATS}) AS t(r)),
+hs AS (SELECT *, {md5_draw(f'{SEED} + repeat - 1', 'patient_id')} AS hh FROM rep)
+SELECT patient_id, repeat,
+       CAST((row_number() OVER (PARTITION BY repeat ORDER BY hh, patient_id) - 1) % {OUTER} + 1 AS INTEGER) AS fold
+FROM hs"""
+
+
+@oracle("val3_stratified_folds")
+def _val3() -> str:
+    return f"WITH {_ds()}, {STRAT} SELECT * FROM sf"
+
+
+@oracle("val4_shuffle_split")
+def _val4() -> str:
+    return f"""WITH {_ds()},
+hs AS (SELECT patient_id, {md5_draw(SEED, 'patient_id')} AS hh FROM ds),
+rk AS (SELECT patient_id, row_number() OVER (ORDER BY hh, patient_id) - 1 AS pos, count(*) OVER () AS n FROM hs)
+SELECT patient_id, CASE WHEN pos < ceil(n * 0.2) THEN 'test' ELSE 'train' END AS partition FROM rk"""
+
+
+@oracle("val5_inner_folds")
+def _val5() -> str:
+    return f"""WITH {_ds()}, {STRAT},
+tr AS (SELECT sf.patient_id, sf.progression_label, sf.repeat, CAST(o.f AS INTEGER) AS outer_fold
+       FROM sf, generate_series(1, {OUTER}) AS o(f) WHERE sf.fold <> o.f),
+hi AS (SELECT *, {md5_draw(f'{SEED + 10000} + repeat - 1 + outer_fold', 'patient_id')} AS hh FROM tr)
+SELECT patient_id, progression_label, repeat, outer_fold,
+       CAST((row_number() OVER (PARTITION BY repeat, outer_fold, progression_label ORDER BY hh, patient_id) - 1)
+            % {INNER} + 1 AS INTEGER) AS inner_fold
+FROM hi"""
+
+
+@oracle("val6_fold_assignments")
+def _val6() -> str:
+    return _assign_sql() + "\nSELECT * FROM asg"
+
+
+@oracle("jn8_overlap_report")
+def _jn8() -> str:
+    return _assign_sql() + """
+SELECT fit_id, patient_id FROM asg GROUP BY fit_id, patient_id
+HAVING count(*) FILTER (WHERE partition = 'train') > 0 AND count(*) FILTER (WHERE partition = 'test') > 0"""
+
+
+@oracle("agg17_fold_audit")
+def _agg17() -> str:
+    return _assign_sql() + """,
+per AS (SELECT fit_id, repeat, outer_fold, patient_id, bool_or(partition = 'train') AS tr,
+               bool_or(partition = 'test') AS te FROM asg GROUP BY ALL)
+SELECT fit_id, repeat, outer_fold, CAST(count(*) FILTER (WHERE tr) AS BIGINT) AS train_patients,
+       CAST(count(*) FILTER (WHERE te) AS BIGINT) AS test_patients,
+       CAST(count(*) FILTER (WHERE tr AND te) AS BIGINT) AS overlapping_patients
+FROM per GROUP BY ALL"""
+
+
+@oracle("agg7_class_feasibility")
+def _agg7() -> str:
+    return f"""WITH {_ds()},
+c AS (SELECT progression_label, count(DISTINCT patient_id) AS patients FROM ds GROUP BY 1)
+SELECT progression_label, CAST(patients AS BIGINT) AS patients,
+       CAST(ceil(patients / {float(OUTER)}) AS BIGINT) AS largest_test_fold,
+       (patients >= {OUTER} AND patients - ceil(patients / {float(OUTER)}) >= {INNER}) AS feasible
+FROM c"""
+
+
+# ------------------------------------------------------------ metrics (AGG)
+
+PRED = """pred AS (
+  SELECT l_suppkey AS group_id, l_orderkey AS patient_id, l_linenumber AS line_id,
+         CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y_true,
+         round(l_discount * 10, 1) AS y_probability,
+         CASE WHEN round(l_discount * 10, 1) >= 0.5 THEN 1 ELSE 0 END AS y_pred,
+         l_extendedprice AS y_value, l_quantity * 1500.0 AS y_estimate
+  FROM lineitem)"""
+
+
+def cum_sql(src: str, group: str, score: str) -> str:
+    return f"""sc AS (SELECT {group}, {score} AS s, CAST(sum(y_true) AS DOUBLE) AS pos,
+              CAST(sum(1 - y_true) AS DOUBLE) AS neg FROM {src} GROUP BY {group}, {score}),
+cum AS (SELECT *, sum(pos) OVER (PARTITION BY {group} ORDER BY s DESC
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+               sum(neg) OVER (PARTITION BY {group} ORDER BY s DESC
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+               sum(pos) OVER (PARTITION BY {group}) AS n_pos,
+               sum(neg) OVER (PARTITION BY {group}) AS n_neg FROM sc)"""
+
+
+@oracle("agg9_regression_metrics")
+def _agg9() -> str:
+    r = "(y_value - y_estimate)"
+    return f"""WITH {PRED}
+SELECT group_id, CAST(count(*) AS BIGINT) AS n, avg(abs({r})) AS mae, sqrt(avg({r} * {r})) AS rmse,
+       CASE WHEN var_pop(y_value) * count(*) > 0 THEN 1 - sum({r} * {r}) / (var_pop(y_value) * count(*))
+            WHEN sum({r} * {r}) = 0 THEN 1.0 ELSE 0.0 END AS r2,
+       avg({r}) AS residual_mean, stddev_samp({r}) AS residual_standard_deviation
+FROM pred GROUP BY group_id"""
+
+
+@oracle("agg10_classification_metrics")
+def _agg10() -> str:
+    return f"""WITH {PRED}, {cum_sql('pred', 'group_id', 'y_probability')},
+rk AS (SELECT group_id,
+              CASE WHEN max(n_pos) > 0 AND max(n_neg) > 0
+                   THEN sum(pos * ((n_neg - fp) + 0.5 * neg)) / (max(n_pos) * max(n_neg)) END AS auroc,
+              CASE WHEN max(n_pos) > 0 AND max(n_neg) > 0
+                   THEN sum(pos * tp / (tp + fp)) / max(n_pos) END AS auprc
+       FROM cum GROUP BY group_id),
+si AS (SELECT group_id, count(*) AS n,
+              avg((y_probability - y_true) * (y_probability - y_true)) AS brier_score,
+              count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS tp,
+              count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS fp,
+              count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS fn
+       FROM pred GROUP BY group_id)
+SELECT si.group_id, CAST(n AS BIGINT) AS n, auroc, auprc, brier_score,
+       CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+       CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+       CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1_score
+FROM si JOIN rk USING (group_id)"""
+
+
+@oracle("win5_roc_points")
+def _win5() -> str:
+    return f"""WITH {PRED}, {cum_sql('pred', 'group_id', 'y_probability')}
+SELECT group_id, s AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       tp / n_pos AS tpr, fp / n_neg AS fpr, tp / (tp + fp) AS precision
+FROM cum"""
+
+
+def _threshold_sql(method: str) -> str:
+    if method == "youden":
+        score = "tp / n_pos - fp / n_neg"
+    else:
+        score = ("CASE WHEN 2 * tp + fp + (n_pos - tp) > 0 THEN 2 * tp / (2 * tp + fp + (n_pos - tp)) "
+                 "ELSE 0.0 END")
+    return f"""WITH {PRED},
+cand AS (SELECT group_id, y_probability, y_true FROM pred
+         UNION ALL SELECT g.group_id, x.t, NULL FROM (SELECT DISTINCT group_id FROM pred) g,
+                          (VALUES (0.01), (0.99)) AS x(t)),
+sc AS (SELECT group_id, y_probability AS s, CAST(coalesce(sum(y_true), 0) AS DOUBLE) AS pos,
+              CAST(count(*) FILTER (WHERE y_true = 0) AS DOUBLE) AS neg FROM cand GROUP BY 1, 2),
+cum AS (SELECT *, sum(pos) OVER (PARTITION BY group_id ORDER BY s DESC
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+               sum(neg) OVER (PARTITION BY group_id ORDER BY s DESC
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+               sum(pos) OVER (PARTITION BY group_id) AS n_pos,
+               sum(neg) OVER (PARTITION BY group_id) AS n_neg FROM sc),
+scored AS (SELECT group_id, s AS threshold, {score} AS score FROM cum),
+best AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, threshold) AS rk
+         FROM scored WHERE score IS NOT NULL AND NOT isnan(score))
+SELECT group_id, threshold, score FROM best WHERE rk = 1"""
+
+
+@oracle("val13_threshold_youden")
+def _val13y() -> str:
+    return _threshold_sql("youden")
+
+
+@oracle("val13_threshold_f1")
+def _val13f() -> str:
+    return _threshold_sql("f1")
+
+
+@oracle("agg20_residual_histogram")
+def _agg20() -> str:
+    return f"""WITH {PRED}, r AS (SELECT y_value - y_estimate AS residual FROM pred),
+st AS (SELECT min(residual) AS lo, max(residual) AS hi FROM r),
+b AS (SELECT CAST(CASE WHEN hi = lo THEN 0
+                  ELSE least(floor((residual - lo) / ((hi - lo) / 30)), 29) END AS INTEGER) AS bin, lo, hi
+      FROM r, st WHERE residual IS NOT NULL)
+SELECT bin, any_value(lo) + bin * ((any_value(hi) - any_value(lo)) / 30) AS bin_start,
+       any_value(lo) + (bin + 1) * ((any_value(hi) - any_value(lo)) / 30) AS bin_end,
+       CAST(count(*) AS BIGINT) AS count
+FROM b GROUP BY bin"""
