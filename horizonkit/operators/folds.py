@@ -71,9 +71,9 @@ def dense_index(
     )
 
 
-def _subjects(dataset: DataFrame, id_col: str, label_col: str | None) -> DataFrame:
-    cols = [id_col] + ([label_col] if label_col else [])
-    return dataset.select(*cols).dropDuplicates([id_col])
+def _subjects(dataset: DataFrame, id_col: str, label_col: str | None, group_cols: Sequence[str] = ()) -> DataFrame:
+    cols = [*group_cols, id_col] + ([label_col] if label_col else [])
+    return dataset.select(*cols).dropDuplicates([*group_cols, id_col])
 
 
 def patient_folds(
@@ -84,15 +84,17 @@ def patient_folds(
     id_col: str = "patient_id",
     stratify_col: str | None = None,
     shuffle: bool = True,
+    group_cols: Sequence[str] = (),
 ) -> DataFrame:
     """VAL1/VAL2/VAL3: one row per (repeat, subject) with its test ``fold``.
 
     Repeat r uses seed + r - 1. ``shuffle=False`` ranks by the id itself
-    (deterministic, unshuffled folds).
+    (deterministic, unshuffled folds). ``group_cols`` (e.g. a configuration
+    id) makes independent fold sets per group in the same pass.
     """
     if isinstance(n_splits, bool) or not isinstance(n_splits, int) or n_splits < 2:
         raise ValueError("n_splits must be an integer greater than one.")
-    subjects = _subjects(dataset, id_col, stratify_col)
+    subjects = _subjects(dataset, id_col, stratify_col, group_cols)
     rep = subjects.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(int(repeats)))))
     if shuffle:
         rep = rep.withColumn("_h", subject_hash(F.lit(int(seed)) + F.col("repeat") - 1, id_col))
@@ -111,7 +113,7 @@ def patient_folds(
                 F.lit(2**HASH_BITS - 1),
             ).cast("bigint"),
         )
-    strata = ["repeat"] + ([stratify_col] if stratify_col else [])
+    strata = [*group_cols, "repeat"] + ([stratify_col] if stratify_col else [])
     idx = dense_index(rep, "_h", id_col, strata)
     return idx.select(
         *(c for c in subjects.columns),

@@ -39,33 +39,37 @@ def univariate_feature_records(
     features: Sequence[str],
     target: str,
     n_splits: int,
-    configuration_id: str,
+    configuration_id: str | None,
     id_col: str = "patient_id",
+    configuration_col: str | None = None,
 ) -> DataFrame:
     """Fold-local univariate association of each feature with the target.
 
     signed_value = Pearson correlation over the training part of the fit
     (complete pairs), importance = |signed_value|. Training sums are built
     from per-test-fold sums combined over the K-1 training folds, so no
-    subject row is copied per fold.
+    subject row is copied per fold. With ``configuration_col`` the folds and
+    the dataset carry a configuration column and every configuration gets
+    its own records in the same pass.
     """
-    wide = folds.select(id_col, "repeat", "fold").join(
-        dataset.select(id_col, F.col(target).cast("double").alias("_y"),
+    g = [configuration_col] if configuration_col else []
+    wide = folds.select(*g, id_col, "repeat", "fold").join(
+        dataset.select(*g, id_col, F.col(target).cast("double").alias("_y"),
                        *[F.col(f).cast("double").alias(f) for f in features]),
-        id_col, "inner",
+        [*g, id_col], "inner",
     )
-    long = wide.unpivot([id_col, "repeat", "fold", "_y"], list(features), "feature", "x").filter(
+    long = wide.unpivot([*g, id_col, "repeat", "fold", "_y"], list(features), "feature", "x").filter(
         F.col("x").isNotNull() & F.col("_y").isNotNull()
     )
     x, y = F.col("x"), F.col("_y")
-    per = long.groupBy("repeat", "fold", "feature").agg(
+    per = long.groupBy(*g, "repeat", "fold", "feature").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
         F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
     )
     parts = per.withColumn("outer_fold", F.explode(F.sequence(F.lit(1), F.lit(int(n_splits))))).filter(
         F.col("fold") != F.col("outer_fold")
     )
-    s = parts.groupBy("repeat", "outer_fold", "feature").agg(
+    s = parts.groupBy(*g, "repeat", "outer_fold", "feature").agg(
         *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
     )
     n = F.col("n")
@@ -73,9 +77,10 @@ def univariate_feature_records(
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
     corr = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).otherwise(F.lit(0.0))
+    cfg = F.col(configuration_col) if configuration_col else F.lit(configuration_id)
     rec = s.select(
-        F.lit(configuration_id).alias("configuration_id"),
-        F.concat(F.lit(configuration_id), F.lit("-r"), F.col("repeat").cast("string"),
+        cfg.alias("configuration_id"),
+        F.concat(cfg, F.lit("-r"), F.col("repeat").cast("string"),
                  F.lit("-f"), F.col("outer_fold").cast("string")).alias("fit_id"),
         F.col("repeat").cast("int").alias("repeat"),
         F.col("outer_fold").cast("int").alias("outer_fold"),

@@ -10,12 +10,13 @@ from __future__ import annotations
 from horizonkit.plans import tasks as T
 from horizonkit.plans.grid import TaskSpec
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, object] = {}
 
 
 def oracle(name: str):
+    """Register a SQL builder; the text is produced when ``oracle_sql()`` asks."""
     def deco(fn):
-        ORACLES[name] = fn()
+        ORACLES[name] = fn
         return fn
 
     return deco

@@ -46,8 +46,16 @@ FROM lg GROUP BY configuration_id, metric"""
 
 @oracle("agg12_bootstrap_regression")
 def _agg12r() -> str:
+    return boot_regression_sql(f"WITH {BOOT_INPUT}")
+
+
+def boot_regression_sql(head: str) -> str:
+    """Bootstrap SQL over ``bi(configuration_id, patient_id, y_value, y_estimate)``.
+
+    ``head`` is the WITH prefix that defines ``bi`` (and anything it needs).
+    """
     r = "(y_value - y_estimate)"
-    return f"""WITH {BOOT_INPUT},
+    return f"""{head},
 st AS (SELECT configuration_id, patient_id, CAST(count(*) AS DOUBLE) AS n, sum(abs({r})) AS abs_r,
               sum({r} * {r}) AS r2s, sum({r}) AS rs, sum(y_value) AS ys, sum(y_value * y_value) AS y2s
        FROM bi GROUP BY ALL),
