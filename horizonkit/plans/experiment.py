@@ -73,7 +73,8 @@ def run_grid_experiment(
     folds = FO.patient_folds(ds, outer_splits, outer_repeats, seed, group_cols=["configuration_id"])
     assignments = FO.fold_assignments(folds, outer_splits, F.col("configuration_id"))
     oof = (
-        assignments.filter(F.col("partition") == "test")
+        # assignments come from explode(K): keep them out of broadcast sizing
+        assignments.filter(F.col("partition") == "test").hint("merge")
         .join(ds.select("configuration_id", "patient_id",
                         F.col("Target_Score").alias("y_true"), F.col("Baseline_Score").alias("y_pred")),
               ["configuration_id", "patient_id"], "inner")

@@ -7,12 +7,12 @@ The settings below are the ones the operators rely on:
   followed by a per-subject ``min_by`` aggregation; with a hot subject the
   join partition is split and each split is partially aggregated to one row
   before the final exchange.
-* No broadcast from *estimated* sizes: Catalyst's static estimate after an
-  ``explode`` or an aggregate can be orders of magnitude low (it chose to
-  broadcast the N x B bootstrap table). Static auto-broadcast is off; AQE
-  broadcasts a join side only when its *measured* size after the shuffle
-  stage is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``, and the
-  library's explicit ``broadcast()`` hints are limited to
+* Broadcasts: Spark's size check (file-size based estimates, 10 MB default)
+  is kept for scan-derived sides, where it over-estimates. A side produced
+  by ``explode`` is sized by its *input* and can be B times larger than
+  estimated (it once chose to broadcast the N x B bootstrap draws), so every
+  join with an exploded side carries an explicit ``shuffle_hash`` / ``merge``
+  hint. The library's own ``broadcast()`` hints are limited to
   configuration-bounded tables (task grids, bucket offsets, manifests).
 * Session time zone pinned to UTC (day arithmetic is done on
   ``TIMESTAMP_NTZ`` micros anyway, so this only affects display).
@@ -31,8 +31,6 @@ DEFAULT_CONF: dict[str, str] = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
