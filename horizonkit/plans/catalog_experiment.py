@@ -59,3 +59,12 @@ def prj16_row_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     return cust.select("c_custkey", row_fingerprint(cust.columns, 16).alias("row_id"))
+
+
+@register("set1_ledger_union")
+def set1_ledger_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from horizonkit.operators import horizon
+    from horizonkit.plans.catalog import _cohort, _endpoint
+
+    _, grid_ledger = horizon.multi_task_result(visit_table(spark, sf_dir, features=False), T.grid_tasks())
+    return A.union_ledgers(_cohort(spark, sf_dir).flow, _endpoint(spark, sf_dir).flow, grid_ledger)

@@ -201,3 +201,11 @@ SELECT PATNO, VISIT_DATE, CAST(count(*) AS BIGINT) AS rows FROM visits GROUP BY
 def _prj16() -> str:
     return """SELECT c_custkey, substr(sha256(to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment,
        'c_name': c_name, 'c_nationkey': c_nationkey})), 1, 16) AS row_id FROM customer"""
+
+
+@oracle("set1_ledger_union")
+def _set1() -> str:
+    from horizonkit.plans.oracles import _agg2, _agg3, _agg4_grid
+
+    return (f"SELECT * FROM ({_agg2()}) a UNION ALL BY NAME SELECT * FROM ({_agg3()}) b "
+            f"UNION ALL BY NAME SELECT * FROM ({_agg4_grid()}) c")
