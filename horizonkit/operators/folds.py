@@ -12,9 +12,9 @@ reproduces the assignment.
 
 The exact rank is computed without a single-partition window
 (``dense_index``): rows are range-bucketed by the top bits of ``h``, bucket
-counts (a table of strata x buckets rows, bounded by configuration) are
-prefix-summed and broadcast, and the final ``row_number`` runs inside each
-(stratum, bucket) - about n / buckets rows per task.
+counts (one row per non-empty stratum x bucket) are prefix-summed and joined
+back, and the final ``row_number`` runs inside each (stratum, bucket) -
+about n / buckets rows per task.
 """
 
 from __future__ import annotations
@@ -47,8 +47,7 @@ def dense_index(
     """Add ``_pos`` (0-based rank by (hash, tie) within strata) and ``_n``.
 
     ``hash_col`` must be uniform in [0, 2^32) so that buckets are balanced.
-    The offsets table has at most strata x 2^bucket_bits rows; strata are
-    configuration-sized (repeat, fold, class), so broadcasting it is bounded.
+    The offsets table has one row per non-empty (stratum, bucket).
     """
     shift = HASH_BITS - bucket_bits
     b = df.withColumn("_bucket", F.shiftright(F.col(hash_col), shift))
@@ -64,8 +63,11 @@ def dense_index(
     )
     inner = Window.partitionBy(*keys).orderBy(hash_col, tie_col)
     ranked = b.withColumn("_rn", F.row_number().over(inner) - 1)
+    # No explicit broadcast: offsets grow with strata x buckets. ``ranked`` is
+    # already hash-partitioned by (strata, bucket) from its window, so only
+    # the small offsets side moves (or AQE broadcasts it if measured small).
     return (
-        ranked.join(F.broadcast(offsets), keys, "inner")
+        ranked.join(offsets, keys, "inner")
         .withColumn("_pos", F.col("_offset") + F.col("_rn"))
         .drop("_bucket", "_rn", "_offset")
     )

@@ -69,8 +69,12 @@ def run_grid_experiment(
 ) -> ExperimentTables:
     spark = visits.sparkSession
     pairs, ledger = horizon.multi_task_result(visits, tasks, features)
+    # The paired table and the folds feed four branches (folds, OOF rows,
+    # feature records, ledger); reliable checkpoints in the shared folder cut
+    # the lineage once instead of recomputing the pairing per branch.
+    pairs = pairs.checkpoint()
     ds = pairs.withColumnRenamed("task_id", "configuration_id").withColumnRenamed("PATNO", "patient_id")
-    folds = FO.patient_folds(ds, outer_splits, outer_repeats, seed, group_cols=["configuration_id"])
+    folds = FO.patient_folds(ds, outer_splits, outer_repeats, seed, group_cols=["configuration_id"]).checkpoint()
     assignments = FO.fold_assignments(folds, outer_splits, F.col("configuration_id"))
     oof = (
         # assignments come from explode(K): keep them out of broadcast sizing
