@@ -97,8 +97,25 @@ def whole_days(later: str | Column, earlier: str | Column) -> Column:
     ``datediff`` counts calendar boundaries (23:00 -> 01:00 is one day); here a
     duration under 24 h is zero days, and negative durations round down.
     """
-    micros = F.timestamp_diff("MICROSECOND", _col(earlier), _col(later))
-    return F.floor(micros / F.lit(MICROS_PER_DAY)).cast("int")
+    return F.floor(_wall_micros_between(_col(earlier), _col(later)) / F.lit(MICROS_PER_DAY)).cast("int")
+
+
+def _micros_of_day(ts: Column) -> Column:
+    seconds = F.extract(F.lit("SECOND"), ts)  # decimal seconds with microseconds
+    return (F.hour(ts).cast("long") * 3_600_000_000 + F.minute(ts).cast("long") * 60_000_000
+            + (seconds * 1_000_000).cast("long"))
+
+
+def _wall_micros_between(earlier: Column, later: Column) -> Column:
+    """Wall-clock microseconds between two ``TIMESTAMP_NTZ`` values.
+
+    Calendar days (``datediff`` of the dates) plus the time-of-day
+    difference: no session time zone is involved, so a DST change in the
+    session zone cannot shift a duration by an hour (``timestamp_diff``
+    casts NTZ values through the session zone).
+    """
+    days = F.datediff(F.to_date(later), F.to_date(earlier)).cast("long")
+    return days * MICROS_PER_DAY + _micros_of_day(later) - _micros_of_day(earlier)
 
 
 def row_fingerprint(columns: Iterable[str], length: int | None = None) -> Column:
