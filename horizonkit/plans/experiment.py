@@ -29,6 +29,7 @@ from horizonkit.operators import horizon
 from horizonkit.operators import stability as S
 from horizonkit.operators import summary as SM
 from horizonkit.plans.grid import FEATURE_BLOCKS, TaskSpec, canonical_json
+from horizonkit.session import checkpoint_dir
 
 MANIFEST_COLUMNS = ("configuration_id", "task", "feature_blocks", "imputation_strategy",
                     "model_family", "model_parameters")
@@ -68,6 +69,7 @@ def run_grid_experiment(
     experiment_name: str = "grid",
 ) -> ExperimentTables:
     spark = visits.sparkSession
+    checkpoint_dir(spark)  # shared folder from the session conf
     pairs, ledger = horizon.multi_task_result(visits, tasks, features)
     # The paired table and the folds feed four branches (folds, OOF rows,
     # feature records, ledger); reliable checkpoints in the shared folder cut
