@@ -58,8 +58,10 @@ def _bucketed_quantile(v: DataFrame, g: list[str], q: float, n_buckets: int, acc
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", probs, accuracy).alias("_bounds"),
     )
+    if not g:  # one global group: give it a constant key instead of a cross join
+        v, bounds, g = v.withColumn("_g", F.lit(0)), bounds.withColumn("_g", F.lit(0)), ["_g"]
     # Bounds are one row per group (configuration-sized): broadcast.
-    vb = v.join(F.broadcast(bounds), g, "inner") if g else v.crossJoin(F.broadcast(bounds))
+    vb = v.join(F.broadcast(bounds), g, "inner")
     vb = vb.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
     counts = vb.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
     w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_bucket")
@@ -79,4 +81,56 @@ def _bucketed_quantile(v: DataFrame, g: list[str], q: float, n_buckets: int, acc
         F.max(F.when(ranked["_rank"] == F.ceil(F.lit(float(q)) * (F.col("_n") - 1)), F.col("_v"))).alias("_hi"),
     )
     frac = F.lit(float(q)) * (F.col("_n") - 1) - F.floor(F.lit(float(q)) * (F.col("_n") - 1))
-    return picked.select(*g, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("quantile"))
+    out = picked.select(*g, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("quantile"))
+    return out.drop("_g")
+
+
+def weighted_median(
+    counts: DataFrame,
+    group_cols: Sequence[str],
+    value_col: str = "value",
+    weight_col: str = "c",
+    n_buckets: int = 256,
+    window_limit: int = 2_000_000,
+) -> DataFrame:
+    """Exact median per group of a (value, count) table: mean of the two
+    middle order statistics of the expanded multiset.
+
+    Fast path (largest group <= ``window_limit`` distinct values): one
+    cumulative window per group. Otherwise the distinct values are bucketed
+    by approximate quantile bounds, bucket weights are prefix-summed, and the
+    cumulative window runs only inside the one or two buckets that hold the
+    middle ranks.
+    """
+    g = list(group_cols)
+    largest = counts.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
+    lo_rank = lambda n: F.floor((n + 1) / 2)  # noqa: E731  (1-based lower middle)
+    hi_rank = lambda n: F.floor(n / 2) + 1
+    if largest <= window_limit:
+        w = Window.partitionBy(*g).orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = counts.select(*g, value_col, weight_col, F.sum(weight_col).over(w).alias("_cum"),
+                            F.sum(weight_col).over(Window.partitionBy(*g)).alias("_n"))
+        start = F.col("_cum") - F.col(weight_col)
+    else:
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        bounds = counts.groupBy(*g).agg(F.percentile_approx(value_col, probs, 10_000).alias("_bounds"),
+                                        F.sum(weight_col).alias("_n"))
+        vb = counts.join(F.broadcast(bounds), g, "inner").withColumn(
+            "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value_col)))).drop("_bounds")
+        per = vb.groupBy(*g, "_bucket").agg(F.sum(weight_col).alias("_bw"), F.first("_n").alias("_n"))
+        wb = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        per = per.withColumn("_bstart", F.coalesce(F.sum("_bw").over(wb), F.lit(0)))
+        inside = lambda r: (F.col("_bstart") < r) & (r <= F.col("_bstart") + F.col("_bw"))
+        need = per.filter(inside(lo_rank(F.col("_n"))) | inside(hi_rank(F.col("_n")))).select(
+            *g, "_bucket", "_bstart", "_n")
+        cand = vb.drop("_n").join(F.broadcast(need), [*g, "_bucket"], "inner")
+        w = Window.partitionBy(*g, "_bucket").orderBy(value_col).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        cum = cand.withColumn("_cum", F.col("_bstart") + F.sum(weight_col).over(w))
+        start = F.col("_cum") - F.col(weight_col)
+    covers = lambda k: (start < k) & (F.col("_cum") >= k)
+    best = cum.groupBy(*g).agg(
+        F.max(F.when(covers(lo_rank(F.col("_n"))), F.col(value_col))).alias("_lo"),
+        F.max(F.when(covers(hi_rank(F.col("_n"))), F.col(value_col))).alias("_hi"),
+    )
+    return best.select(*g, ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))

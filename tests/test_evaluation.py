@@ -208,3 +208,16 @@ def test_calibration_matches_newton_in_numpy(spark):
     one = df.withColumn("y_true", F.lit(1))
     assert calibration_parameters(one, ["g"]).first()["calibration_slope"] is None
     assert not math.isnan(r["calibration_slope"])
+
+
+def test_weighted_median_bucketed_path_is_exact(spark):
+    from horizonkit.operators.quantiles import weighted_median
+
+    rows = [(g, float((i * 37) % 101), 1 + (i % 3)) for g in range(3) for i in range(400 + g)]
+    df = spark.createDataFrame(rows, "g int, value double, c long")
+    fast = {r["g"]: r["median"] for r in weighted_median(df, ["g"]).collect()}
+    slow = {r["g"]: r["median"] for r in weighted_median(df, ["g"], n_buckets=8, window_limit=0).collect()}
+    for g in range(3):
+        expanded = [v for (gg, v, c) in rows if gg == g for _ in range(c)]
+        assert fast[g] == pytest.approx(float(np.median(expanded)))
+        assert slow[g] == pytest.approx(fast[g])
