@@ -221,3 +221,13 @@ def test_weighted_median_bucketed_path_is_exact(spark):
         expanded = [v for (gg, v, c) in rows if gg == g for _ in range(c)]
         assert fast[g] == pytest.approx(float(np.median(expanded)))
         assert slow[g] == pytest.approx(fast[g])
+
+
+def test_bucketed_running_counts_equal_window(spark):
+    rows = [(g, float((i * 7919) % 997) / 997.0, i % 3, 1 + i % 2) for g in range(2) for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, s double, a int, b int") \
+        .groupBy("g", "s").agg(F.sum("a").cast("double").alias("pos"), F.sum("b").cast("double").alias("neg"))
+    fast = {(r["g"], r["s"]): (r["tp"], r["fp"], r["n_pos"]) for r in M.cumulative_counts(df, ["g"], "s").collect()}
+    slow = {(r["g"], r["s"]): (r["tp"], r["fp"], r["n_pos"])
+            for r in M.cumulative_counts(df, ["g"], "s", window_limit=0, n_buckets=16).collect()}
+    assert fast == slow
