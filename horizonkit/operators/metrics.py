@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from horizonkit.session import checkpoint_dir
+
 
 def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
@@ -99,6 +101,11 @@ def cumulative_counts(counts: DataFrame, group_cols: Sequence[str], score: str,
     buckets of a group and the running window only spans one bucket.
     """
     g = list(group_cols)
+    # The count table is the reduced form of its input; materialise it once
+    # (reliable checkpoint in the shared folder) so the size check below does
+    # not run the upstream plan a second time.
+    checkpoint_dir(counts.sparkSession)
+    counts = counts.checkpoint()
     largest = counts.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
     if largest <= window_limit:
         w_desc = Window.partitionBy(*g).orderBy(F.desc(score)).rowsBetween(

@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from horizonkit.session import checkpoint_dir
+
 
 # Groups up to this many values use Spark's exact ``percentile`` directly.
 BUFFER_LIMIT = 2_000_000
@@ -103,6 +105,8 @@ def weighted_median(
     middle ranks.
     """
     g = list(group_cols)
+    checkpoint_dir(counts.sparkSession)
+    counts = counts.checkpoint()  # reduced table: check its size without recomputing upstream
     largest = counts.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
     lo_rank = lambda n: F.floor((n + 1) / 2)  # noqa: E731  (1-based lower middle)
     hi_rank = lambda n: F.floor(n / 2) + 1
