@@ -16,6 +16,9 @@ Plan shape (single task):
 * The range condition is a residual predicate of the equi-join on PATNO.
 * The multi-task variant joins the candidates once with a broadcast task
   grid (bounded by configuration) and groups by (task_id, PATNO).
+* Hot subjects (more visits than an average partition) are split over salts
+  in the visits x baseline join (``operators.skew``); the per-subject
+  baseline table that counts visits is materialised once and reused.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ from horizonkit.functions.expressions import (
     lenient_timestamp,
     whole_days,
 )
+from horizonkit.operators.skew import hot_from_counts, salt_big_side, salt_small_side
 from horizonkit.plans.grid import TaskSpec, task_grid_frame
+from horizonkit.session import checkpoint_dir
 
 CORE = ("PATNO", "EVENT_ID", "VISIT_DATE", "SCORE")
 
@@ -62,39 +67,62 @@ def baseline_table(
     visits: DataFrame,
     baseline_event_ids: Sequence[str] = ("BL",),
     feature_columns: Sequence[str] = (),
+    keep_visit_counts: bool = False,
 ) -> DataFrame:
     """One row per subject that has a baseline-labelled visit (WIN1).
 
     ``usable`` is true when the earliest baseline with date and score exists;
     then ``Baseline_Date`` / ``Baseline_Score`` / features come from it.
-    Ties on date are broken by ``ROW_ID`` (input order).
+    Ties on date are broken by ``ROW_ID`` (input order). With
+    ``keep_visit_counts`` the aggregate runs over all visits and also returns
+    ``_n_visits`` per subject (used to find hot subjects).
     """
     events = [str(e).strip().upper() for e in baseline_event_ids]
-    bl = visits.filter(F.col("EVENT_ID").isin(events) & F.col("PATNO").isNotNull())
+    is_bl = F.coalesce(F.col("EVENT_ID").isin(events), F.lit(False))
     usable = F.col("VISIT_DATE").isNotNull() & F.col("SCORE").isNotNull()
     payload = F.struct(
         F.col("VISIT_DATE").alias("Baseline_Date"),
         F.col("SCORE").alias("Baseline_Score"),
         *[F.col(c) for c in feature_columns],
     )
-    order_key = F.when(usable, F.struct("VISIT_DATE", "ROW_ID"))
-    best = (
-        bl.groupBy("PATNO")
-        .agg(F.min_by(payload, order_key).alias("b"), F.count(order_key).alias("n_usable"))
-    )
+    order_key = F.when(is_bl & usable, F.struct("VISIT_DATE", "ROW_ID"))
+    src = visits.filter(F.col("PATNO").isNotNull())
+    if not keep_visit_counts:
+        src = src.filter(is_bl)
+    best = src.groupBy("PATNO").agg(
+        F.min_by(payload, order_key).alias("b"),
+        F.count(order_key).alias("n_usable"),
+        F.count_if(is_bl).alias("_n_bl"),
+        F.count(F.lit(1)).alias("_n_visits"),
+    ).filter(F.col("_n_bl") > 0)
     return best.select(
         "PATNO",
         (F.col("n_usable") > 0).alias("usable"),
         "b.*",
+        *(["_n_visits"] if keep_visit_counts else []),
     )
 
 
+def _baselines_and_hot(prepared: DataFrame, events: Sequence[str], feature_columns: Sequence[str]):
+    """Baselines materialised once (reliable checkpoint) + hot subjects.
+
+    The per-subject table is reused by the pairing join, the ledger and the
+    hot-key check, so it is computed once; the hot list is bounded by the
+    number of shuffle partitions (``operators.skew``).
+    """
+    checkpoint_dir(prepared.sparkSession)
+    baselines = baseline_table(prepared, events, feature_columns, keep_visit_counts=True).checkpoint()
+    hot = hot_from_counts(baselines.filter("usable"), "PATNO", "_n_visits")
+    return baselines.drop("_n_visits"), hot
+
+
 def _candidates(
     visits: DataFrame,
     baselines: DataFrame,
     feature_columns: Sequence[str],
     lower: int | Column,
     upper: int | Column,
+    hot: dict | None = None,
 ) -> DataFrame:
     follow_up = visits.filter(
         F.col("PATNO").isNotNull() & F.col("VISIT_DATE").isNotNull() & F.col("SCORE").isNotNull()
@@ -102,7 +130,13 @@ def _candidates(
     base = baselines.filter("usable").select(
         "PATNO", "Baseline_Date", "Baseline_Score", *feature_columns
     )
-    joined = follow_up.join(base, "PATNO", "inner")
+    if hot:
+        # hot subjects: visits spread over salts, their baseline row copied per salt
+        joined = salt_big_side(follow_up, "PATNO", hot, ["ROW_ID"]).join(
+            salt_small_side(base, "PATNO", hot), ["PATNO", "_salt"], "inner"
+        ).drop("_salt")
+    else:
+        joined = follow_up.join(base, "PATNO", "inner")
     days = whole_days("VISIT_DATE", "Baseline_Date")
     return joined.withColumn("Follow_Up_Days", days).filter(
         (F.col("Follow_Up_Days") > 0) & F.col("Follow_Up_Days").between(lower, upper)
@@ -176,10 +210,10 @@ def fixed_horizon_result(
     """JN3/JN4: nearest-in-window pairing with baseline-only covariates."""
     _validate_horizon(horizon_days, tolerance_days)
     prepared = prepare_visits(visits, feature_columns)
-    baselines = baseline_table(prepared, baseline_event_ids, feature_columns)
+    baselines, hot = _baselines_and_hot(prepared, baseline_event_ids, feature_columns)
     cands = _candidates(
         prepared, baselines, feature_columns,
-        horizon_days - tolerance_days, horizon_days + tolerance_days,
+        horizon_days - tolerance_days, horizon_days + tolerance_days, hot,
     )
     chosen = _select_nearest(cands, horizon_days, feature_columns)
     chosen = chosen.withColumn("Delta_Score", F.col("Target_Score") - F.col("Baseline_Score"))
@@ -283,10 +317,10 @@ def multi_task_result(
     spark = visits.sparkSession
     grid = task_grid_frame(spark, list(tasks))
     prepared = prepare_visits(visits, feature_columns)
-    baselines = baseline_table(prepared, next(iter(event_sets)), feature_columns)
+    baselines, hot = _baselines_and_hot(prepared, next(iter(event_sets)), feature_columns)
     lo = min(t.horizon_days - t.tolerance_days for t in tasks)
     hi = max(t.horizon_days + t.tolerance_days for t in tasks)
-    cands = _candidates(prepared, baselines, feature_columns, lo, hi)
+    cands = _candidates(prepared, baselines, feature_columns, lo, hi, hot)
     # The grid is driver-built and bounded by configuration: broadcast it.
     g = F.broadcast(grid)
     joined = cands.join(
