@@ -87,20 +87,17 @@ def baseline_table(
     )
     order_key = F.when(is_bl & usable, F.struct("VISIT_DATE", "ROW_ID"))
     src = visits.filter(F.col("PATNO").isNotNull())
-    if not keep_visit_counts:
-        src = src.filter(is_bl)
-    best = src.groupBy("PATNO").agg(
+    # min_by over a struct is a sort-based aggregate: run it on baseline rows
+    # only; visit counts (a cheap hash aggregate) come from all rows.
+    best = src.filter(is_bl).groupBy("PATNO").agg(
         F.min_by(payload, order_key).alias("b"),
         F.count(order_key).alias("n_usable"),
-        F.count_if(is_bl).alias("_n_bl"),
-        F.count(F.lit(1)).alias("_n_visits"),
-    ).filter(F.col("_n_bl") > 0)
-    return best.select(
-        "PATNO",
-        (F.col("n_usable") > 0).alias("usable"),
-        "b.*",
-        *(["_n_visits"] if keep_visit_counts else []),
     )
+    out = best.select("PATNO", (F.col("n_usable") > 0).alias("usable"), "b.*")
+    if keep_visit_counts:
+        counts = src.groupBy("PATNO").agg(F.count(F.lit(1)).alias("_n_visits"))
+        out = out.join(counts, "PATNO", "inner")
+    return out
 
 
 def _baselines_and_hot(prepared: DataFrame, events: Sequence[str], feature_columns: Sequence[str]):
