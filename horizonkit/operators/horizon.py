@@ -37,7 +37,7 @@ from horizonkit.functions.expressions import (
     lenient_timestamp,
     whole_days,
 )
-from horizonkit.operators.skew import hot_from_counts, salt_big_side, salt_small_side
+from horizonkit.operators.skew import hot_from_counts, salt_big_side, salt_small_side, split_hot_keys
 from horizonkit.plans.grid import TaskSpec, task_grid_frame
 from horizonkit.session import checkpoint_dir
 
@@ -414,7 +414,8 @@ def endpoint_delta_dataset(
     follow = visits.filter(F.col(endpoint).isNotNull() & F.col("VISIT_DATE").isNotNull()).select(
         "PATNO", "EVENT_ID", "VISIT_DATE", "ROW_ID", endpoint
     )
-    joined = follow.join(base, "PATNO", "inner").withColumn(
+    # visits x one baseline row per subject: hot subjects are split over salts
+    joined = split_hot_keys(follow, base, "PATNO", "inner", row_cols=["ROW_ID"]).withColumn(
         "time_from_baseline_days", whole_days("VISIT_DATE", "baseline_date")
     )
     return joined.filter(F.col("time_from_baseline_days") > 0).withColumn(

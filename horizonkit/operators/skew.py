@@ -25,21 +25,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from horizonkit.session import checkpoint_dir
+
 MAX_SALTS = 512
 # A key is hot only above an average partition's share AND this many rows.
 HOT_KEY_MIN_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = 100_000, partitions: int | None = None) -> dict:
-    """{key value: salts} for keys above the average partition share."""
-    spark = df.sparkSession
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.sum("_c")).first()[0] or 0
-    share = max(total / max(p, 1), 1.0)
-    limit = max(share, float(min_rows))
-    hot = counts.filter(F.col("_c") > F.lit(limit)).orderBy(F.desc("_c")).limit(p).collect()
-    return {r[key]: int(min(MAX_SALTS, max(2, -(-r["_c"] // int(share))))) for r in hot}
+def hot_keys(df: DataFrame, key: str, min_rows: int | None = None, partitions: int | None = None) -> dict:
+    """{key value: salts} for keys above the average partition share.
+
+    The per-key counts (one row per key, partial aggregation) are written
+    once to the checkpoint folder, then read by the small check jobs.
+    """
+    checkpoint_dir(df.sparkSession)
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_c")).checkpoint()
+    return hot_from_counts(counts, key, "_c", min_rows, partitions)
 
 
 def hot_from_counts(per_key: DataFrame, key: str, count_col: str, min_rows: int | None = None,
@@ -88,7 +89,7 @@ def split_hot_keys(
     key: str,
     how: str = "inner",
     row_cols: Sequence[str] | None = None,
-    min_rows: int = 100_000,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """``big.join(small, key, how)`` with hot keys of ``big`` spread out."""
     hot = hot_keys(big, key, min_rows)

@@ -86,3 +86,19 @@ def test_cohort_semi_join_with_hot_subject(spark, monkeypatch):
     df = spark.createDataFrame(rows, "PATNO long, DIAGNOSTIC_GROUP string, EVENT_ID string")
     res = cohort.select_cohort(df)
     assert res.data.count() == 3000 + len([p for p in range(2, 400) if p % 2])
+
+
+def test_endpoint_delta_with_hot_subject(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from horizonkit.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_KEY_MIN_ROWS", 100)
+    base = dt.datetime(2020, 1, 1)
+    rows = [(1, "BL" if i == 0 else "V1", base + dt.timedelta(days=i), float(i), i) for i in range(2000)]
+    rows += [(p, "BL" if k == 0 else "V1", base + dt.timedelta(days=k * 30), float(p + k), 10_000 + p * 10 + k)
+             for p in range(2, 200) for k in range(3)]
+    df = spark.createDataFrame(rows, "PATNO long, EVENT_ID string, VISIT_DATE timestamp_ntz, moca double, ROW_ID long")
+    out = horizon.endpoint_delta_dataset(df, "moca", (), ("BL",))
+    assert out.count() == 1999 + 198 * 2
+    assert out.filter(F.col("PATNO") == 1).agg(F.sum("moca_delta")).first()[0] == sum(range(1, 2000))
