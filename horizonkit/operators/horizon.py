@@ -28,7 +28,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from horizonkit.errors import ConfigurationError, MissingColumnError, require_columns
 from horizonkit.functions.expressions import (
@@ -423,10 +422,6 @@ def endpoint_delta_dataset(
     )
 
 
-def schema_of(df: DataFrame) -> T.StructType:  # small helper for tests
-    return df.schema
-
-
 def cohort_counts(visits: DataFrame, result: HorizonResult) -> DataFrame:
     """AGG5: records, subjects, baseline subjects and the AGG4 numbers, one row.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from horizonkit.errors import ConfigurationError, MissingColumnError
 from horizonkit.operators import cohort as C
@@ -138,4 +137,3 @@ def test_fingerprint_is_order_free(spark):
     assert table_fingerprint(a).first() == table_fingerprint(b).first()
     c = spark.createDataFrame([(1, "x"), (2, "z")], "k long, v string")
     assert table_fingerprint(a).first() != table_fingerprint(c).first()
-    _ = F
