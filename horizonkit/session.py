@@ -3,10 +3,10 @@
 The settings below are the ones the operators rely on:
 
 * AQE on, with skew-join splitting even when the split needs an extra
-  shuffle afterwards (``forceOptimizeSkewedJoin``).  The pairing join is
-  followed by a per-subject ``min_by`` aggregation; with a hot subject the
-  join partition is split and each split is partially aggregated to one row
-  before the final exchange.
+  shuffle afterwards (``forceOptimizeSkewedJoin``). That rule only applies
+  to joins whose children are plain shuffle stages; the per-subject joins
+  (visits x baseline, cohort semi-join) have an aggregate on one side, so
+  they salt hot subjects explicitly (``operators.skew``).
 * Broadcasts: Spark's size check (file-size based estimates, 10 MB default)
   is kept for scan-derived sides, where it over-estimates. A side produced
   by ``explode`` is sized by its *input* and can be B times larger than
