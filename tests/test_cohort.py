@@ -137,3 +137,22 @@ def test_fingerprint_is_order_free(spark):
     assert table_fingerprint(a).first() == table_fingerprint(b).first()
     c = spark.createDataFrame([(1, "x"), (2, "z")], "k long, v string")
     assert table_fingerprint(a).first() != table_fingerprint(c).first()
+
+
+def test_contract_report_counts_nulls_and_failed_casts(spark):
+    df = spark.createDataFrame([("1", "2020-01-01"), ("x", None), (None, "01/02/2020")], "PATNO string, visit_date string")
+    rep = {r["column_name"]: r for r in SRC.contract_report(df, {"PATNO": "double", "visit_date": "date"}).collect()}
+    assert (rep["PATNO"]["rows"], rep["PATNO"]["nulls"], rep["PATNO"]["failed_casts"]) == (3, 1, 1)
+    assert (rep["visit_date"]["nulls"], rep["visit_date"]["failed_casts"]) == (1, 1)
+
+
+def test_fingerprint_keeps_nulls_and_metric_direction(spark):
+    from pyspark.sql import functions as F
+
+    from horizonkit.functions.expressions import metric_direction, row_fingerprint
+
+    df = spark.createDataFrame([(1, None), (1, "x")], "a long, b string")
+    fp = [r[0] for r in df.select(row_fingerprint(["b", "a"], 16)).collect()]
+    assert len(set(fp)) == 2 and all(len(x) == 16 for x in fp)
+    m = spark.createDataFrame([("mae",), ("auroc",)], "metric string").select(metric_direction(F.col("metric")))
+    assert [r[0] for r in m.collect()] == ["lower_is_better", "higher_is_better"]
