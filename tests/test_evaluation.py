@@ -231,3 +231,10 @@ def test_bucketed_running_counts_equal_window(spark):
     slow = {(r["g"], r["s"]): (r["tp"], r["fp"], r["n_pos"])
             for r in M.cumulative_counts(df, ["g"], "s", window_limit=0, n_buckets=16).collect()}
     assert fast == slow
+
+
+def test_exact_quantile_without_groups_bucketed(spark):
+    df = spark.range(0, 1001).select(((F.col("id") * 7919) % 1009).cast("double").alias("v"))
+    got = exact_quantile(df, [], "v", 0.5, n_buckets=16, buffer_limit=0).collect()
+    assert len(got) == 1 and got[0]["quantile"] == pytest.approx(float(np.quantile(df.toPandas()["v"], 0.5)))
+    assert "_g" not in exact_quantile(df, [], "v", 0.25, n_buckets=16, buffer_limit=0).columns
