@@ -238,3 +238,15 @@ def test_exact_quantile_without_groups_bucketed(spark):
     got = exact_quantile(df, [], "v", 0.5, n_buckets=16, buffer_limit=0).collect()
     assert len(got) == 1 and got[0]["quantile"] == pytest.approx(float(np.quantile(df.toPandas()["v"], 0.5)))
     assert "_g" not in exact_quantile(df, [], "v", 0.25, n_buckets=16, buffer_limit=0).columns
+
+
+def test_poisson_bootstrap_is_reproducible(spark):
+    pred = spark.createDataFrame([(i % 50, float(i), float(i) + (i % 3)) for i in range(200)],
+                                 "patient_id long, y_true double, y_pred double").withColumn("configuration_id", F.lit("c"))
+    a = B.bootstrap_regression(pred, n_resamples=40, seed=5, method="poisson").orderBy("metric").collect()
+    b = B.bootstrap_regression(pred, n_resamples=40, seed=5, method="poisson").orderBy("metric").collect()
+    assert a == b
+    stats = pred.groupBy("configuration_id", "patient_id").count()
+    w = B.resample_weights(stats, ["configuration_id"], "patient_id", 40, 5, method="poisson")
+    sizes = [r["s"] for r in w.filter("b > 0").groupBy("b").agg(F.sum("w").alias("s")).collect()]
+    assert 40 <= np.mean(sizes) <= 60
