@@ -156,3 +156,14 @@ def test_fingerprint_keeps_nulls_and_metric_direction(spark):
     assert len(set(fp)) == 2 and all(len(x) == 16 for x in fp)
     m = spark.createDataFrame([("mae",), ("auroc",)], "metric string").select(metric_direction(F.col("metric")))
     assert [r[0] for r in m.collect()] == ["lower_is_better", "higher_is_better"]
+
+
+def test_lenient_timestamp_layouts(spark):
+    from horizonkit.functions.expressions import lenient_double, lenient_timestamp
+
+    df = spark.createDataFrame([("2020-01-09",), ("2020/01/09",), ("9 Jan 2020",), ("Jan 9, 2020",), ("01/09/2020",),
+                                ("2020-01-09 10:30:00",), ("junk",)], "t string")
+    got = [r[0] for r in df.select(lenient_timestamp("t").cast("string")).collect()]
+    assert got[:5] == ["2020-01-09 00:00:00"] * 5 and got[5] == "2020-01-09 10:30:00" and got[6] is None
+    nums = spark.createDataFrame([("1.5",), ("NaN",), ("x",)], "s string").select(lenient_double("s"))
+    assert [r[0] for r in nums.collect()] == [1.5, None, None]
