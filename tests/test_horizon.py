@@ -131,3 +131,18 @@ def test_legacy_endpoint_delta(spark):
     ).withColumn("VISIT_DATE", F.col("VISIT_DATE").cast("timestamp_ntz"))
     out = horizon.endpoint_delta_dataset(df, "moca", (), ("BL", "V01"))
     assert {r["PATNO"]: r["moca_delta"] for r in out.collect()} == {101: -2.0, 202: 1.0}
+
+
+def test_column_and_parameter_guards(spark):
+    from horizonkit.errors import MissingColumnError
+
+    df = spark.createDataFrame([(1, "BL", 1.0)], "PATNO long, EVENT_ID string, SCORE double")
+    with pytest.raises(MissingColumnError, match="ROW_ID, VISIT_DATE"):
+        horizon.fixed_horizon_result(df, 365, 30)
+    with pytest.raises(MissingColumnError):
+        horizon.endpoint_delta_dataset(df, "moca")
+    full = df.withColumns({"VISIT_DATE": F.lit("2020-01-01"), "ROW_ID": F.lit(0)})
+    with pytest.raises(ValueError):
+        horizon.fixed_horizon_result(full, 0, 30)
+    with pytest.raises(ValueError):
+        horizon.fixed_horizon_result(full, 365, -1)
