@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from horizonkit.llm import packing, secret_scan, simhash_dedup, toxicity
-from horizonkit.llm.common import read_table
+from horizonkit.llm import bpe_stream, fingerprints, license_scan, packing, secret_scan, simhash_dedup, toxicity
+from horizonkit.llm.common import materialise, read_table
+
+
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also ``n_near``: for ids divisible by 50, the other documents within the radius."""
+    rows = materialise(fingerprints.compare_with_next(read_table(spark, sf_dir, "documents")), "compared")
+    asked = rows.where("doc_id % 50 = 0")
+    near = fingerprints.find_within(rows.select("fp"), asked.select("fp"))
+    counted = asked.join(near, "fp").select("doc_id", "fp", (F.col("n_near") - 1).alias("n_near")).distinct()
+    digits = [F.lower(F.hex(c)).alias(n) for c, n in (("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))]
+    return rows.join(counted, ["doc_id", "fp"], "left").select(
+        "doc_id", "n_chars", "edited_sha256", *digits, "near_edited", "near_next", "n_near"
+    )
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +43,19 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.near_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash_dedup.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op9_bpe_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.encode_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(
         spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
@@ -43,9 +63,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op2_secret_scans": op2_secret_scans,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_license_scans": op6_license_scans,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_bpe_streaming": op9_bpe_streaming,
     "op10_toxicity": op10_toxicity,
 }
 
