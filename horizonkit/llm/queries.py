@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from horizonkit.llm import bpe_stream, fingerprints, license_scan, packing, secret_scan, simhash_dedup, toxicity
+from horizonkit.llm import (
+    bpe_stream, chat_format, fingerprints, license_scan, packing, secret_scan, simhash_dedup, toxicity, vector_dedup,
+)
 from horizonkit.llm.common import materialise, read_table
 
 
@@ -39,6 +41,15 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = f"{chat_format.END}{chat_format.START}assistant ok"
+    added = spark.createDataFrame(
+        [(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string"
+    )
+    return chat_format.read_back(chat_format.format_windows(turns.unionByName(added)))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -47,6 +58,15 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    result = materialise(vector_dedup.near_duplicates(vectors), "near-vectors")
+    recall = vector_dedup.audit_recall(result, vectors)
+    if recall < vector_dedup.LEAST_RECALL:
+        raise RuntimeError(f"the graph search found only {recall:.3f} of the audited links")
+    return result
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.near_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash_dedup.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -65,8 +85,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_secret_scans": op2_secret_scans,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_license_scans": op6_license_scans,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_bpe_streaming": op9_bpe_streaming,
     "op10_toxicity": op10_toxicity,
