@@ -37,6 +37,10 @@ class ByteBpe:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.plain_library = Tokenizer.from_file(path)
+        self.plain_library.no_truncation()
+        self.plain_library.no_padding()
+        self.plain_library.encode_special_tokens = True
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         symbol = byte_symbols()
         ranks = {bytes(symbol[c] for c in token): i for token, i in vocabulary.items() if token not in special}
@@ -56,6 +60,12 @@ class ByteBpe:
             return self.library.encode(text, add_special_tokens=False).ids
         return self.ranked.encode(text, allowed_special="all")
 
+    def plain_ids(self, text: str) -> list[int]:
+        """As ``ids``, but special-token strings are ordinary text."""
+        if max(map(len, text.split(" "))) > LONG_RUN or any(s in text for s in _SPACES):
+            return self.plain_library.encode(text, add_special_tokens=False).ids
+        return self.ranked.encode_ordinary(text)
+
     def id_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         packed = array("I", self.ids(text))

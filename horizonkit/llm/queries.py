@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from horizonkit.llm import (
-    bpe_stream, chat_format, fingerprints, license_scan, packing, secret_scan, simhash_dedup, toxicity, vector_dedup,
+    bpe_stream, chat_format, fingerprints, license_scan, lm_scoring, packing, secret_scan, simhash_dedup, toxicity,
+    vector_dedup,
 )
 from horizonkit.llm.common import materialise, read_table
 
@@ -41,6 +42,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = f"{chat_format.END}{chat_format.START}assistant ok"
@@ -85,6 +90,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_secret_scans": op2_secret_scans,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_license_scans": op6_license_scans,
