@@ -6,6 +6,7 @@ import json
 import sys
 from array import array
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
@@ -44,6 +45,9 @@ class ByteBpe:
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         symbol = byte_symbols()
         ranks = {bytes(symbol[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+        #: per id: does the token begin with a space
+        self.after_space = np.zeros(max([*ranks.values(), *special.values()]) + 1, bool)
+        self.after_space[[i for token, i in ranks.items() if token[:1] == b" "]] = True
         self.ranked = tiktoken.Encoding(
             "byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
