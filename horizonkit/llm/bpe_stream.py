@@ -10,6 +10,7 @@ holds one block and one lookahead of symbols at most.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import json
@@ -24,6 +25,7 @@ from horizonkit.llm.common import keyed_text
 
 TOKENIZER = "word_bpe_49k.json"
 BLOCK = 4096
+SHORT = 48
 CACHE = 600_000
 
 
@@ -67,6 +69,8 @@ class MergeTable:
     def merge(self, symbols: list[str]) -> list[str]:
         """Apply the merges to a bounded buffer, lowest rank first, then leftmost."""
         rank, n = self.rank, len(symbols)
+        if n <= SHORT:
+            return self._merge_short(list(symbols))
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         parts: list[str | None] = list(symbols)
@@ -87,6 +91,20 @@ class MergeTable:
         return [p for p in parts if p is not None]
 
 
+    def _merge_short(self, parts: list[str]) -> list[str]:
+        get, none = self.rank.get, len(self.rank)
+        ranks = [get(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), none)
+        return parts
+
+
 class StreamEncoder:
     """Transducer for one pre-token: ``feed`` characters, then ``finish``.
 
@@ -131,11 +149,9 @@ class StreamDecoder:
     """
 
     def __init__(self, table_strings: dict[int, str], byte_level: bool):
-        import codecs
-
         self.strings, self.byte_level, self.started = table_strings, byte_level, False
         self.symbol = byte_symbols() if byte_level else {}
-        self.bytes_to_text = codecs.getincrementaldecoder("utf-8")("replace")
+        self.bytes_to_text = codecs.getincrementaldecoder("utf-8")("replace") if byte_level else None
 
     def feed(self, token_id: int) -> str:
         token = self.strings.get(token_id)
@@ -166,6 +182,8 @@ class WordCodec:
         self.special = {t.content: i for i, t in added.items()}
         self.strings = {i: s for s, i in self.table.vocabulary.items()} | {i: t.content for i, t in added.items()}
         self.byte_level = self.library.decoder is not None
+        self.encoder = StreamEncoder(self.table)
+        self.tokens: dict[str, list[int]] = {}
         self.cache: dict[bytes, bytes] = {}
         self.texts: dict[bytes, bytes] = {}
 
@@ -176,15 +194,29 @@ class WordCodec:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def token_ids(self, token: str) -> list[int]:
+        """Ids of one pre-token, fed to the transducer in blocks."""
+        found: list[str] = []
+        for start in range(0, len(token), BLOCK):
+            found += self.encoder.feed(token[start : start + BLOCK])
+        found += self.encoder.finish()
+        return [self.table.vocabulary[t] for t in found]
+
     def part_ids(self, part: str) -> list[int]:
         """Ids of a text without special tokens."""
+        if part.isascii() and part.isalpha():  # one pre-token, and its bytes stand for themselves
+            tokens = [part.lower()]
+        else:
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+            tokens = [t for t, _ in pieces]
         out: list[int] = []
-        vocabulary = self.table.vocabulary
-        encoder = StreamEncoder(self.table)
-        for token, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
-            for start in range(0, len(token), BLOCK):
-                out += map(vocabulary.__getitem__, encoder.feed(token[start : start + BLOCK]))
-            out += map(vocabulary.__getitem__, encoder.finish())
+        for token in tokens:
+            ids = self.tokens.get(token)
+            if ids is None:
+                ids = self.token_ids(token)
+                if len(token) <= SHORT:
+                    self.tokens[token] = ids
+            out += ids
         return out
 
     def text_ids(self, text: str) -> list[int]:
@@ -210,11 +242,12 @@ class WordCodec:
             ids = self.text_ids(text)
             joined = " ".join(map(str, ids)).encode()
             return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
-        parts = text.encode().split()
+        data = text.encode()
+        parts = (data.lower() if data.isascii() else data).split()  # the normaliser lower-cases too
         cache, texts = self.cache, self.texts
         if len(cache) > CACHE:
-            cache.clear()
-            texts.clear()
+            for known in (cache, texts, self.tokens):
+                known.clear()
         for part in set(parts).difference(cache):
             ids = self.part_ids(part.decode())
             cache[part] = "".join(f"{i} " for i in ids).encode()
