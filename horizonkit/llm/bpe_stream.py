@@ -26,7 +26,7 @@ from horizonkit.llm.common import keyed_text
 TOKENIZER = "word_bpe_49k.json"
 BLOCK = 4096
 SHORT = 48
-CACHE = 600_000
+CACHE = 1_200_000
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]], longest: int | None = None) -> int:
@@ -215,6 +215,8 @@ class WordCodec:
             if ids is None:
                 ids = self.token_ids(token)
                 if len(token) <= SHORT:
+                    if len(self.tokens) >= CACHE // 3:
+                        self.tokens.clear()
                     self.tokens[token] = ids
             out += ids
         return out
@@ -246,8 +248,8 @@ class WordCodec:
         parts = (data.lower() if data.isascii() else data).split()  # the normaliser lower-cases too
         cache, texts = self.cache, self.texts
         if len(cache) > CACHE:
-            for known in (cache, texts, self.tokens):
-                known.clear()
+            cache.clear()
+            texts.clear()
         for part in set(parts).difference(cache):
             ids = self.part_ids(part.decode())
             cache[part] = "".join(f"{i} " for i in ids).encode()
