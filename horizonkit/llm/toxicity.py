@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, max_rows: int = MAX_ROWS,
         rows.select("doc_id", "text", "toxic").repartition(1)
         .mapInArrow(learn, "weights binary, bias double").first()
     )
-    return np.frombuffer(bytes(model["weights"]), np.float64), model["bias"]
+    return (np.frombuffer(bytes(model["weights"]), np.float64), model["bias"]) if model else fit([], [])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id",
