@@ -184,29 +184,36 @@ def range_search(points: np.ndarray, graph: list[np.ndarray], queries: np.ndarra
                  beam: int = BEAM, slack: float = SLACK) -> list[np.ndarray]:
     """For each query position the others of at least ``threshold`` that the search meets.
 
-    Greedy search walks from the medoid with a beam; the beam doubles while it
-    is full of members of the widened range, and all of those expand.
+    Greedy search walks from the medoid with a beam until the beam is expanded;
+    then everything met within the widened range expands, ring by ring, until
+    no new member turns up.
     """
+    n = len(points)
     medoid = int((points @ points.mean(0)).argmax())
     hits = []
     for query in queries.tolist():
         own = points[query]
-        score = {medoid: float(points[medoid] @ own)}
-        expanded: set[int] = set()
-        wide = beam
+        cosine, met, expanded = np.full(n, -2.0), np.array([medoid]), np.zeros(n, bool)
+        cosine[medoid] = points[medoid] @ own
+
+        def expand(ring: np.ndarray) -> np.ndarray:
+            expanded[ring] = True
+            near = np.concatenate([graph[p] for p in ring.tolist()])
+            fresh = np.unique(near[cosine[near] == -2.0])
+            cosine[fresh] = points[fresh] @ own
+            return fresh
+
         while True:
-            best = sorted(score, key=score.__getitem__, reverse=True)[:wide]
-            todo = [p for p in best if p not in expanded][:8]
-            if not todo:
-                if len(best) < wide or score[best[-1]] < threshold - slack:
-                    break
-                wide *= 2  # the range goes on beyond the beam
-                continue
-            expanded.update(todo)
-            fresh = [p for p in set(np.concatenate([graph[t] for t in todo]).tolist()) if p not in score]
-            if fresh:
-                score.update(zip(fresh, (points[fresh] @ own).tolist()))
-        hits.append(np.array([p for p, s in score.items() if s >= threshold and p != query], np.int64))
+            if len(met) > beam:
+                met = met[np.argpartition(-cosine[met], beam - 1)[:beam]]
+            todo = met[~expanded[met]]
+            if not len(todo):
+                break
+            met = np.append(met, expand(todo[np.argsort(-cosine[todo])[:8]]))
+        while len(ring := np.flatnonzero((cosine >= threshold - slack) & ~expanded)):
+            expand(ring)
+        cosine[query] = -2.0
+        hits.append(np.flatnonzero(cosine >= threshold))
     return hits
 
 
