@@ -59,6 +59,11 @@ def lenient_double(c: str | Column, dtype: T.DataType | None = None) -> Column:
     return F.nanvl(casted, F.lit(None).cast("double"))
 
 
+def strip(c: Column) -> Column:
+    """Text without white space at either end: tabs and line breaks too, not spaces alone."""
+    return F.trim(c.cast("string"), F.lit(" \t\n\r\f\x0b"))
+
+
 def lenient_timestamp(c: str | Column, dtype: T.DataType | None = None) -> Column:
     """Mixed-format timestamp parse; unparseable text becomes null.
 
@@ -70,7 +75,7 @@ def lenient_timestamp(c: str | Column, dtype: T.DataType | None = None) -> Colum
         return col
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return col.cast("timestamp_ntz")
-    text = F.trim(col.cast("string"))
+    text = strip(col)
     parsed = [text.try_cast("timestamp_ntz")]
     for pattern in LENIENT_DATE_PATTERNS:
         parsed.append(F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz"))
@@ -79,7 +84,7 @@ def lenient_timestamp(c: str | Column, dtype: T.DataType | None = None) -> Colum
 
 def label_norm(c: str | Column, upper: bool = True) -> Column:
     """Strip (and upper-case) a label, comparing labels as strings."""
-    text = F.trim(_col(c).cast("string"))
+    text = strip(_col(c))
     return F.upper(text) if upper else text
 
 

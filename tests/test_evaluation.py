@@ -250,3 +250,28 @@ def test_poisson_bootstrap_is_reproducible(spark):
     w = B.resample_weights(stats, ["configuration_id"], "patient_id", 40, 5, method="poisson")
     sizes = [r["s"] for r in w.filter("b > 0").groupBy("b").agg(F.sum("w").alias("s")).collect()]
     assert 40 <= np.mean(sizes) <= 60
+
+
+def test_bootstrap_refuses_rows_without_subject(spark):
+    rows = [("c", 1, 1.0, 0.5), ("c", None, 2.0, 1.0), ("c", 2, 3.0, 2.5)]
+    df = spark.createDataFrame(rows, "configuration_id string, patient_id long, y_true double, y_pred double")
+    from horizonkit.operators.bootstrap import bootstrap_regression
+
+    with pytest.raises(Exception, match="need a subject id"):
+        bootstrap_regression(df, n_resamples=5).collect()
+
+
+def test_strip_takes_all_white_space(spark):
+    from horizonkit.functions.expressions import label_norm
+
+    df = spark.createDataFrame([("\tbl\n",), (" V1 \r",)], "e string")
+    assert [r[0] for r in df.select(label_norm("e")).collect()] == ["BL", "V1"]
+
+
+def test_null_depth_is_unlimited(spark):
+    from horizonkit.operators.models import build_model
+    from horizonkit.plans.nested import UNLIMITED_DEPTH, _param_maps
+
+    model = build_model("random_forest", True, seed=1)
+    maps = _param_maps(model, {"max_depth": [3, None]})
+    assert sorted(v for m in maps for v in m.values()) == [3, UNLIMITED_DEPTH]
