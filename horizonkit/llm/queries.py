@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from horizonkit.llm import (
-    bpe_stream, chat_format, fingerprints, license_scan, lm_scoring, packing, secret_scan, simhash_dedup, toxicity,
-    vector_dedup,
+    bpe_stream, chat_format, fingerprints, license_scan, lm_scoring, oracles, packing, secret_scan, simhash_dedup,
+    toxicity, vector_dedup,
 )
 from horizonkit.llm.common import materialise, read_table
 
@@ -100,4 +100,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_secret_scans": oracles.secret_scans()}
