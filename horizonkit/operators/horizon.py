@@ -14,8 +14,9 @@ Plan shape (single task):
 * The follow-up side is cut to (PATNO, EVENT_ID, VISIT_DATE, SCORE, ROW_ID)
   *before* the join; predictors can only come from the baseline row.
 * The range condition is a residual predicate of the equi-join on PATNO.
-* The multi-task variant joins the candidates once with a broadcast task
-  grid (bounded by configuration) and groups by (task_id, PATNO).
+* The multi-task variant matches the candidates once with the distinct
+  windows of the task list (a literal array) and groups by (window, PATNO);
+  the chosen rows then join the task list on its window.
 * Hot subjects (more visits than an average partition) are split over salts
   in the visits x baseline join (``operators.skew``); the per-subject
   baseline table that counts visits is materialised once and reused.
@@ -317,20 +318,23 @@ def multi_task_result(
     lo = min(t.horizon_days - t.tolerance_days for t in tasks)
     hi = max(t.horizon_days + t.tolerance_days for t in tasks)
     cands = _candidates(prepared, baselines, feature_columns, lo, hi, hot)
-    # The grid is driver-built and bounded by configuration: broadcast it.
-    g = F.broadcast(grid)
-    joined = cands.join(
-        g,
-        F.col("Follow_Up_Days").between(
-            g["horizon_days"] - g["tolerance_days"], g["horizon_days"] + g["tolerance_days"]
-        ),
-        "inner",
-    )
-    chosen = _select_nearest(
-        joined, F.col("horizon_days"), feature_columns,
-        group_keys=("task_id", "outcome_type", "horizon_months", "tolerance_days",
-                    "progression_threshold", "PATNO"),
+    # Tasks that differ by outcome only share their window: pair once per distinct
+    # window (a literal array, no join), then fan the top-1 rows out to the tasks.
+    windows = F.array(*[
+        F.struct(F.lit(h).alias("horizon_days"), F.lit(t).alias("tolerance_days"))
+        for h, t in sorted({(t.horizon_days, t.tolerance_days) for t in tasks})
+    ])
+    near = F.filter(windows, lambda w: F.abs(F.col("Follow_Up_Days") - w["horizon_days"]) <= w["tolerance_days"])
+    in_window = cands.withColumn("_w", F.explode(near)).select("*", "_w.*").drop("_w")
+    nearest = _select_nearest(
+        in_window, F.col("horizon_days"), feature_columns, ("horizon_days", "tolerance_days", "PATNO"),
     ).withColumn("Delta_Score", F.col("Target_Score") - F.col("Baseline_Score"))
+    chosen = nearest.join(
+        grid.drop("task_name"), ["horizon_days", "tolerance_days"], "inner"
+    ).select(
+        "task_id", "outcome_type", "horizon_months", "tolerance_days", "progression_threshold",
+        *[c for c in nearest.columns if c not in ("horizon_days", "tolerance_days")],
+    )
     pairs = chosen.withColumn(
         "progression_label",
         F.when(

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from horizonkit.operators import folds as FO
 from horizonkit.operators import horizon
 from horizonkit.operators import stability as S
 from horizonkit.operators import summary as SM
+from horizonkit.operators.harmonize import resolve_feature_columns
 from horizonkit.plans.grid import FEATURE_BLOCKS, TaskSpec, canonical_json
 from horizonkit.session import checkpoint_dir
 
@@ -49,19 +51,18 @@ class ExperimentTables:
     summary: DataFrame
 
 
-def grid_manifest(spark: SparkSession, tasks: list[TaskSpec], model_family: str) -> DataFrame:
-    """One manifest row per task; block sets rotate over the grid positions."""
-    rows = []
-    for i, t in enumerate(tasks):
-        blocks = list(FEATURE_BLOCKS[: 1 + i % len(FEATURE_BLOCKS)])
-        rows.append((t.task_id, canonical_json(t.to_dict()), json.dumps(blocks), "median", model_family, "{}"))
+def grid_manifest(spark: SparkSession, tasks: list[TaskSpec], blocks: list[str]) -> DataFrame:
+    """What this run does, one row per task: the blocks whose columns it reads and
+    the no-change predictor, which imputes nothing and has no parameters."""
+    rows = [(t.task_id, canonical_json(t.to_dict()), json.dumps(blocks), "none", "no_change", "{}")
+            for t in tasks]
     return spark.createDataFrame(rows, list(MANIFEST_COLUMNS))
 
 
 def run_grid_experiment(
     visits: DataFrame,
     tasks: list[TaskSpec],
-    features: list[str],
+    feature_blocks: Mapping[str, Sequence[str]],
     outer_splits: int = 5,
     outer_repeats: int = 2,
     n_resamples: int = 50,
@@ -69,6 +70,8 @@ def run_grid_experiment(
     experiment_name: str = "grid",
 ) -> ExperimentTables:
     spark = visits.sparkSession
+    blocks = [b for b in FEATURE_BLOCKS if feature_blocks.get(b)]
+    features = resolve_feature_columns(feature_blocks, blocks)
     checkpoint_dir(spark)  # shared folder from the session conf
     pairs, ledger = horizon.multi_task_result(visits, tasks, features)
     # The paired table and the folds feed four branches (folds, OOF rows,
@@ -94,7 +97,7 @@ def run_grid_experiment(
     stability = S.stability_summary(S.feature_stability(records))
     ci = B.bootstrap_regression(oof, ["configuration_id"], "patient_id", "y_true", "y_pred",
                                 n_resamples, 0.95, seed)
-    manifest = grid_manifest(spark, tasks, "no_change")
+    manifest = grid_manifest(spark, tasks, blocks)
     cohort = SM.retained_cohort(ledger.withColumnRenamed("task_id", "configuration_id"))
     summary = SM.experiment_summary(
         ci, manifest, stability, cohort, experiment_name,

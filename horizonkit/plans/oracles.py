@@ -101,23 +101,44 @@ def _jn3() -> str:
 def _jn4() -> str:
     t = T.feature_task()
     inner = nearest_sql(FEATS, t)
-    return f"""SELECT *, '{t.task_id}' AS task_id, CAST({t.horizon_months} AS INTEGER) AS horizon_months,
+    return f"""WITH {grid_values([t])}
+SELECT q.*, grid.task_id, CAST({t.horizon_months} AS INTEGER) AS horizon_months,
        CAST({t.tolerance_days} AS INTEGER) AS tolerance_days,
        CAST(Delta_Score >= {float(t.progression_threshold)} AS INTEGER) AS progression_label
-FROM ({inner}) q"""
+FROM ({inner}) q, grid"""
+
+
+def task_json(medication: str = "'null'", colon: str = ":", comma: str = ",") -> str:
+    """SQL text expression: a task's JSON from the columns of a grid CTE."""
+    parts = {
+        "baseline_event_ids": """'["BL"]'""",
+        "endpoint": "to_json(endpoint)",
+        "horizon_days": "CAST(horizon_days AS VARCHAR)",
+        "horizon_months": "CAST(horizon_months AS VARCHAR)",
+        "medication_state": medication,
+        "name": "to_json(task_name)",
+        "outcome_type": "to_json(outcome_type)",
+        "progression_threshold": "coalesce(CAST(progression_threshold AS VARCHAR), 'null')",
+        "target_column": """CASE outcome_type WHEN 'binary' THEN '"progression_label"' ELSE '"Delta_Score"' END""",
+        "tolerance_days": "CAST(tolerance_days AS VARCHAR)",
+    }
+    fields = f" || '{comma}' || ".join(f"""'"{k}"{colon}' || {v}""" for k, v in parts.items())
+    return "('{' || " + fields + " || '}')"
 
 
 def grid_values(tasks: list[TaskSpec]) -> str:
+    """Grid CTE; the ids are digests taken in SQL of the JSON text built there."""
     rows = []
-    for t in tasks:
+    for i, t in enumerate(tasks):
         thr = "NULL" if t.progression_threshold is None else repr(float(t.progression_threshold))
         rows.append(
-            f"('{t.task_id}', '{t.outcome_type}', {t.horizon_months}, {t.horizon_days}, "
+            f"({i}, '{t.name}', '{t.endpoint}', '{t.outcome_type}', {t.horizon_months}, {t.horizon_days}, "
             f"{t.tolerance_days}, CAST({thr} AS DOUBLE))"
         )
     return (
-        "grid(task_id, outcome_type, horizon_months, horizon_days, tolerance_days, "
-        "progression_threshold) AS (VALUES " + ", ".join(rows) + ")"
+        "grid0(place, task_name, endpoint, outcome_type, horizon_months, horizon_days, tolerance_days, "
+        "progression_threshold) AS (VALUES " + ", ".join(rows) + "), "
+        f"grid AS (SELECT *, {task_json()} AS task, substr(sha256({task_json()}), 1, 16) AS task_id FROM grid0)"
     )
 
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
-
 from horizonkit.plans import tasks as T
-from horizonkit.plans.experiment import experiment_config_sha
-from horizonkit.plans.grid import FEATURE_BLOCKS, canonical_json
-from horizonkit.plans.oracles import LI_FEATURES, VISITS, _jn5, md5_draw, oracle
+from horizonkit.plans.grid import FEATURE_BLOCKS
+from horizonkit.plans.oracles import LI_FEATURES, VISITS, _jn5, grid_values, md5_draw, oracle, task_json
 from horizonkit.plans.oracles_eval import boot_regression_sql
 from horizonkit.plans.oracles_prep import STAB
 
@@ -15,13 +12,15 @@ SPLITS, REPEATS, RESAMPLES, SEED = 5, 2, 50, 42
 FEATS = ["Baseline_Score", "ACCTBAL", "N_LINES", "SUM_QTY", "MAX_DISC"]
 
 
+BLOCKS = '["demographics_disease_history", "baseline_motor", "olfaction_sleep_autonomic"]'
+
+
 def _manifest_values() -> str:
-    rows = []
-    for i, t in enumerate(T.grid_tasks()):
-        blocks = json.dumps(list(FEATURE_BLOCKS[: 1 + i % len(FEATURE_BLOCKS)]))
-        rows.append(f"('{t.task_id}', '{canonical_json(t.to_dict())}', '{blocks}', 'median', 'no_change', '{{}}')")
-    return ("manifest(configuration_id, task, feature_blocks, imputation_strategy, model_family, "
-            "model_parameters) AS (VALUES " + ", ".join(rows) + ")")
+    return (grid_values(T.grid_tasks()) + f""",
+manifest AS (SELECT task_id AS configuration_id, task, '{BLOCKS}' AS feature_blocks, 'none' AS imputation_strategy,
+                    'no_change' AS model_family, '{{}}' AS model_parameters FROM grid),
+config AS (SELECT sha256('{{"features":["ACCTBAL","N_LINES","SUM_QTY","MAX_DISC"],"n_resamples":{RESAMPLES},"outer_repeats":{REPEATS},"outer_splits":{SPLITS},"seed":{SEED},"tasks":['
+                         || string_agg(task, ',' ORDER BY place) || ']}}') AS config_sha256 FROM grid)""")
 
 
 def _chain() -> str:
@@ -96,8 +95,7 @@ summary AS (
          'grid' AS batch_experiment, 'grid:' || ci.configuration_id AS specification_key,
          'patient_isolated' AS validation_strategy, CAST({SPLITS} AS INTEGER) AS outer_splits,
          CAST({REPEATS} AS INTEGER) AS outer_repeats, CAST(0 AS INTEGER) AS inner_splits,
-         '{experiment_config_sha(T.grid_tasks(), ["ACCTBAL", "N_LINES", "SUM_QTY", "MAX_DISC"], SEED, SPLITS,
-                                 REPEATS, RESAMPLES)}' AS config_sha256,
+         (SELECT config_sha256 FROM config) AS config_sha256,
          'testdata' AS database_version, CAST({SEED} AS INTEGER) AS random_seed,
          CAST(NULL AS VARCHAR) AS source_file_sha256, '0.1.0' AS software_version,
          CASE WHEN ci.metric IN ('mae', 'rmse', 'brier_score') THEN 'lower_is_better'
@@ -199,10 +197,41 @@ SELECT PATNO, VISIT_DATE, CAST(count(*) AS BIGINT) AS rows FROM visits GROUP BY
 
 @oracle("prj16_row_fingerprint")
 def _prj16() -> str:
-    return """SELECT c_custkey, substr(sha256(to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment,
+    return """SELECT c_custkey, substr(sha256(to_json({'c_acctbal': CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR), 'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment,
        'c_name': c_name, 'c_nationkey': c_nationkey})), 1, 16) AS row_id FROM customer"""
 
 
+@oracle("jn9_parameter_grid")
+def _jn9() -> str:
+    med = "'\"OFF\"'"
+    return f"""WITH ep AS (
+  SELECT n_name AS study, c_mktsegment AS endpoint, 'OFF' AS medication_state, CAST(count(*) AS BIGINT) AS subjects
+  FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
+h(hp, horizon_months, horizon_days) AS (VALUES (0, 12, 365), (1, 24, 730), (2, 36, 1095)),
+t(tp, tolerance_days) AS (VALUES (0, 60), (1, 90)),
+o(op, outcome_type, progression_threshold) AS (VALUES (0, 'continuous', CAST(NULL AS DOUBLE)), (1, 'binary', 5.0)),
+i(ip, imputation_strategy) AS (VALUES (0, 'median'), (1, 'most_frequent')),
+m(mp, model_family) AS (VALUES (0, 'elasticnet'), (1, 'random_forest')),
+b(bp, feature_blocks) AS (VALUES (0, '["baseline_motor"]'),
+                                 (1, '["demographics_disease_history", "baseline_motor"]')),
+grid0 AS (SELECT *, ((((hp * 2 + tp) * 2 + op) * 2 + ip) * 2 + mp) * 2 + bp AS place,
+                 study || '_' || endpoint || '_' || CAST(horizon_months AS VARCHAR) || 'm_' || outcome_type AS task_name,
+                 CASE WHEN model_family = 'random_forest' THEN '{{"max_depth": [null, 5]}}'
+                      WHEN outcome_type = 'binary' THEN '{{"C": [0.1, 1.0]}}'
+                      ELSE '{{"alpha": [0.1]}}' END AS model_parameters
+          FROM ep, h, t, o, i, m, b),
+g AS (SELECT *, {task_json(med)} AS task, {task_json(med, ": ", ", ")} AS spaced FROM grid0)
+SELECT study, endpoint, medication_state, subjects,
+       substr(sha256('{{"feature_blocks": ' || feature_blocks || ', "imputation_strategy": "' || imputation_strategy
+              || '", "model_family": "' || model_family || '", "model_parameters": ' || model_parameters
+              || ', "task": ' || spaced || '}}'), 1, 16) AS configuration_id,
+       CAST(place AS INTEGER) AS position, substr(sha256(task), 1, 16) AS task_id, task, task_name, outcome_type,
+       CAST(horizon_months AS INTEGER) AS horizon_months, CAST(horizon_days AS INTEGER) AS horizon_days,
+       CAST(tolerance_days AS INTEGER) AS tolerance_days, progression_threshold, feature_blocks,
+       imputation_strategy, model_family, model_parameters
+FROM g"""
+
+
 @oracle("set1_ledger_union")
 def _set1() -> str:
     from horizonkit.plans.oracles import _agg2, _agg3, _agg4_grid

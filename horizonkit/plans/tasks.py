@@ -33,3 +33,16 @@ def grid_tasks() -> list[TaskSpec]:
                     )
                 )
     return tasks
+
+
+# Grid expanded by the registered grid query (per study and endpoint).
+GRID_CONFIG = {
+    "cohort": {"baseline_event_ids": ["BL"]},
+    "task_grid": {"horizons_months": [12, 24, 36], "tolerance_days": [60, 90],
+                  "outcome_types": ["continuous", "binary"], "progression_threshold": 5.0,
+                  "feature_sets": [["baseline_motor"], ["demographics_disease_history", "baseline_motor"]]},
+    "validation": {"imputation_strategies": ["median", "most_frequent"], "split_strategy": "patient_isolated"},
+    "models": {"elasticnet": {"binary_parameter_grid": {"C": [0.1, 1.0]},
+                              "continuous_parameter_grid": {"alpha": [0.1]}},
+               "random_forest": {"parameter_grid": {"max_depth": [None, 5]}}},
+}

@@ -28,6 +28,12 @@ DRIVER_TABLES = (
 ).split()
 
 VISIT_FEATURES = ("ACCTBAL", "N_LINES", "SUM_QTY", "MAX_DISC")
+# Feature domains of the visit view (other domains have no column here).
+VISIT_FEATURE_BLOCKS = {
+    "demographics_disease_history": ("ACCTBAL",),
+    "baseline_motor": ("N_LINES", "SUM_QTY"),
+    "olfaction_sleep_autonomic": ("MAX_DISC",),
+}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +54,12 @@ def order_line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def visit_table(spark: SparkSession, sf_dir: str, features: bool = True) -> DataFrame:
-    """Canonical long visit table built from ``orders`` and ``customer``."""
+def visit_table(spark: SparkSession, sf_dir: str, features: bool = True, groups: bool = True) -> DataFrame:
+    """Canonical long visit table built from ``orders`` and ``customer``.
+
+    Without ``groups`` (and ``features``) no column of ``customer`` is needed,
+    so the table is a plain scan of ``orders``.
+    """
     orders = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("ROW_ID"),
         F.col("o_custkey").alias("PATNO"),
@@ -65,6 +75,8 @@ def visit_table(spark: SparkSession, sf_dir: str, features: bool = True) -> Data
     )
     if features:
         orders = orders.join(order_line_features(spark, sf_dir), "ROW_ID", "left")
+    if not (features or groups):
+        return orders.select("PATNO", "EVENT_ID", "VISIT_DATE", "SCORE", "MEDICATION_STATE", "ROW_ID")
     customer = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("PATNO"),
         F.col("c_mktsegment").alias("DIAGNOSTIC_GROUP"),
@@ -154,7 +166,7 @@ def visit_text_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     event missing (% 41), date layouts by key % 3 (ISO, MM/dd/yyyy,
     'MMM d, yyyy'), unparseable date (% 43), score 'n/a' (% 19).
     """
-    v = visit_table(spark, sf_dir, features=False)
+    v = visit_table(spark, sf_dir, features=False, groups=False)
     rid = F.col("ROW_ID")
     d = F.col("VISIT_DATE")
     date_text = (
