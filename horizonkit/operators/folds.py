@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from horizonkit.errors import PatientLeakageError
 from horizonkit.functions.expressions import hash_bigint
+from horizonkit.operators.quantiles import running_totals
 
 HASH_BITS = 32
 DEFAULT_BUCKET_BITS = 12  # 4096 buckets per stratum
@@ -98,25 +99,15 @@ def patient_folds(
         raise ValueError("n_splits must be an integer greater than one.")
     subjects = _subjects(dataset, id_col, stratify_col, group_cols)
     rep = subjects.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(int(repeats)))))
+    strata = [*group_cols, "repeat"] + ([stratify_col] if stratify_col else [])
     if shuffle:
         rep = rep.withColumn("_h", subject_hash(F.lit(int(seed)) + F.col("repeat") - 1, id_col))
+        idx = dense_index(rep, "_h", id_col, strata)
     else:
-        # Monotone map of the id onto [0, 2^32): ordering by (_h, id) equals
-        # ordering by id, and buckets follow the id range (min / max enter as
-        # scalar subqueries).
-        ids = subjects.select(F.col(id_col).cast("double").alias("v"))
-        bounds = ids.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
-        lo, hi = bounds.getField("lo"), bounds.getField("hi")
-        span = F.greatest(hi - lo, F.lit(1.0))
-        rep = rep.withColumn(
-            "_h",
-            F.least(
-                F.floor((F.col(id_col).cast("double") - lo) / span * F.lit(float(2**HASH_BITS))),
-                F.lit(2**HASH_BITS - 1),
-            ).cast("bigint"),
-        )
-    strata = [*group_cols, "repeat"] + ([stratify_col] if stratify_col else [])
-    idx = dense_index(rep, "_h", id_col, strata)
+        # rank by id: bounds come from the ids' own quantiles, so an outlier id
+        # does not gather the others in one bucket
+        idx = running_totals(rep.withColumn("_one", F.lit(1)), strata, id_col, ["_one"]).withColumn(
+            "_pos", F.col("_upto__one") - 1)
     return idx.select(
         *(c for c in subjects.columns),
         "repeat",

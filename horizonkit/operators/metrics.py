@@ -18,10 +18,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from horizonkit.session import checkpoint_dir
+from horizonkit.operators.quantiles import running_totals
 
 
 def _finite(c: Column) -> Column:
@@ -85,67 +85,20 @@ def score_counts(
     )
 
 
-# Groups with at most this many distinct scores use one window per group.
-WINDOW_LIMIT = 2_000_000
-
-
 def cumulative_counts(counts: DataFrame, group_cols: Sequence[str], score: str,
-                      window_limit: int = WINDOW_LIMIT, n_buckets: int = 256) -> DataFrame:
+                      n_buckets: int = 256) -> DataFrame:
     """WIN5: running TP / FP over descending score (ties are one step).
 
     Adds tp, fp (counts with score >= this score), neg_below (negatives with a
     strictly lower score), n_pos, n_neg. ``counts`` has one row per (group,
-    distinct score). When the largest group has more distinct scores than
-    ``window_limit`` (checked by one small aggregate), the scores are bucketed
-    by approximate quantile bounds: bucket totals are prefix-summed over the
-    buckets of a group and the running window only spans one bucket.
+    distinct score); no task holds a whole group (``operators.quantiles``).
     """
-    g = list(group_cols)
-    # The count table is the reduced form of its input; materialise it once
-    # (reliable checkpoint in the shared folder) so the size check below does
-    # not run the upstream plan a second time.
-    checkpoint_dir(counts.sparkSession)
-    counts = counts.checkpoint()
-    largest = counts.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
-    if largest <= window_limit:
-        w_desc = Window.partitionBy(*g).orderBy(F.desc(score)).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        w_all = Window.partitionBy(*g)
-        return counts.select(
-            *g, score, "pos", "neg",
-            F.sum("pos").over(w_desc).alias("tp"),
-            F.sum("neg").over(w_desc).alias("fp"),
-            F.sum("pos").over(w_all).alias("n_pos"),
-            F.sum("neg").over(w_all).alias("n_neg"),
-        ).withColumn("neg_below", F.col("n_neg") - F.col("fp"))
-    keyed = counts if g else counts.withColumn("_g", F.lit(0))
-    gk = g or ["_g"]
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = keyed.groupBy(*gk).agg(F.percentile_approx(score, probs, 10_000).alias("_bounds"))
-    # bucket 0 holds the highest scores: count of bounds above the score
-    vb = keyed.join(F.broadcast(bounds), gk, "inner").withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b > F.col(score)))
-    ).drop("_bounds")
-    per = vb.groupBy(*gk, "_bucket").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    before = Window.partitionBy(*gk).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*gk)
-    per = per.select(
-        *gk, "_bucket",
-        F.coalesce(F.sum("_bp").over(before), F.lit(0.0)).alias("_pos0"),
-        F.coalesce(F.sum("_bn").over(before), F.lit(0.0)).alias("_neg0"),
-        F.sum("_bp").over(whole).alias("n_pos"),
-        F.sum("_bn").over(whole).alias("n_neg"),
-    )
-    inside = Window.partitionBy(*gk, "_bucket").orderBy(F.desc(score)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    out = vb.join(per, [*gk, "_bucket"], "inner").select(
-        *gk, score, "pos", "neg",
-        (F.col("_pos0") + F.sum("pos").over(inside)).alias("tp"),
-        (F.col("_neg0") + F.sum("neg").over(inside)).alias("fp"),
-        "n_pos", "n_neg",
+    run = running_totals(counts, group_cols, score, ["pos", "neg"], descending=True, n_buckets=n_buckets)
+    return run.select(
+        *group_cols, score, "pos", "neg",
+        F.col("_upto_pos").alias("tp"), F.col("_upto_neg").alias("fp"),
+        F.col("_total_pos").alias("n_pos"), F.col("_total_neg").alias("n_neg"),
     ).withColumn("neg_below", F.col("n_neg") - F.col("fp"))
-    return out.drop("_g")
 
 
 def roc_points(

@@ -1,32 +1,103 @@
-"""Exact per-group quantiles without buffering a whole group in one task.
+"""Exact per-group order statistics and running totals, in bounded tasks.
 
-``percentile`` (exact) keeps every value of a group in one aggregation
-buffer; for a group of 10^10 values that is one task holding 80 GB. Here:
+One algorithm at every size, so a group may hold any share of the rows:
 
-1. ``percentile_approx`` (a mergeable sketch, partial aggregation) gives
-   B-1 bucket boundaries per group;
-2. each value gets its bucket (count of boundaries below it), counts per
-   (group, bucket) are prefix-summed (B rows per group);
-3. only the one or two buckets holding the target ranks are ranked exactly
-   (``row_number`` over about n / B rows).
+1. rows are reduced to (group, value) -> weight;
+2. ``percentile_approx`` (a mergeable sketch) gives bucket bounds per group;
+3. values meet their group's bounds over ``SALTS`` salts of the value, so a
+   hot group's values never gather in one task; the bounds are the small side
+   and Spark's own size check decides whether they are broadcast;
+4. bucket totals are prefix-summed (``n_buckets`` rows per group);
+5. running totals inside a bucket finish the job: about n / n_buckets rows.
 
-Linear interpolation between the order statistics at floor / ceil of
-q * (n - 1) - numpy's default, Spark ``percentile`` and DuckDB
-``quantile_cont``.
+Order statistics read only the one or two buckets that hold the target ranks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from horizonkit.session import checkpoint_dir
+#: Salts over which a group's values are spread when they meet its bounds.
+SALTS = 32
+#: Accuracy of the bound sketch: a bound's rank is off by at most n / ACCURACY.
+ACCURACY = 10_000
 
 
-# Groups up to this many values use Spark's exact ``percentile`` directly.
-BUFFER_LIMIT = 2_000_000
+def with_buckets(df: DataFrame, group_cols: Sequence[str], value_col: str, n_buckets: int = 256,
+                 descending: bool = False) -> DataFrame:
+    """Adds ``_bucket``: the number of the group's bounds before the value."""
+    g = list(group_cols)
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = df.groupBy(*g).agg(
+        F.array_distinct(F.percentile_approx(value_col, probs, ACCURACY)).alias("_bounds")
+    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(value_col), F.lit(SALTS)).cast("int"))
+    v = F.col(value_col)
+    before = F.filter("_bounds", lambda b: (b > v) if descending else (b < v))
+    return salted.join(bounds, [*g, "_salt"], "inner").withColumn("_bucket", F.size(before)).drop("_bounds", "_salt")
+
+
+def bucket_starts(per_bucket: DataFrame, group_cols: Sequence[str], weight_cols: Sequence[str]) -> DataFrame:
+    """For a (group, _bucket, weights) table: ``_start_w`` before the bucket, ``_total_w`` of the group."""
+    g = list(group_cols)
+    before = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*g)
+    return per_bucket.select(
+        "*",
+        *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_start_{w}") for w in weight_cols],
+        *[F.sum(w).over(whole).alias(f"_total_{w}") for w in weight_cols],
+    )
+
+
+def running_totals(counts: DataFrame, group_cols: Sequence[str], value_col: str, weight_cols: Sequence[str],
+                   descending: bool = False, n_buckets: int = 256) -> DataFrame:
+    """Adds, per weight ``w`` of a (group, distinct value) table, ``_upto_w``
+    (total of the group's values up to and with this one) and ``_total_w``."""
+    g = list(group_cols) or ["_g"]
+    keyed = counts if group_cols else counts.withColumn("_g", F.lit(0))
+    vb = with_buckets(keyed, g, value_col, n_buckets, descending)
+    starts = bucket_starts(
+        vb.groupBy(*g, "_bucket").agg(*[F.sum(w).alias(w) for w in weight_cols]), g, weight_cols
+    ).drop(*weight_cols)
+    order = F.desc(value_col) if descending else F.asc(value_col)
+    inside = Window.partitionBy(*g, "_bucket").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return vb.join(starts, [*g, "_bucket"], "inner").select(
+        *counts.columns,
+        *[(F.col(f"_start_{w}") + F.sum(w).over(inside)).alias(f"_upto_{w}") for w in weight_cols],
+        *[f"_total_{w}" for w in weight_cols],
+    )
+
+
+def _targets(starts: DataFrame, g: list[str], ranks: Sequence[Callable[[Column], Column]]) -> DataFrame:
+    """Buckets that hold one of the 0-based target ranks."""
+    start, n = F.col("_start_c"), F.col("_total_c")
+    holds = [(start <= r(n)) & (r(n) < start + F.col("c")) for r in ranks]
+    return starts.filter(holds[0] | holds[1]).select(*g, "_bucket", "_start_c", "_total_c")
+
+
+def _pick(cand: DataFrame, g: list[str], value_col: str,
+          ranks: Sequence[Callable[[Column], Column]]) -> DataFrame:
+    """(group, _lo, _hi, _total_c): the values at the two target ranks."""
+    inside = Window.partitionBy(*g, "_bucket").orderBy(value_col).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    upto, n = F.col("_upto"), F.col("_total_c")
+    at = [F.max(F.when((upto - F.col("c") <= r(n)) & (r(n) < upto), F.col(value_col))) for r in ranks]
+    return cand.withColumn("_upto", F.col("_start_c") + F.sum("c").over(inside)).groupBy(*g).agg(
+        F.max("_total_c").alias("_total_c"), at[0].alias("_lo"), at[1].alias("_hi"))
+
+
+def _order_statistics(counts: DataFrame, g: list[str], value_col: str, n_buckets: int,
+                      ranks: Sequence[Callable[[Column], Column]]) -> DataFrame:
+    vb = with_buckets(counts, g, value_col, n_buckets)
+    starts = bucket_starts(vb.groupBy(*g, "_bucket").agg(F.sum("c").alias("c")), g, ["c"])
+    return _pick(vb.join(_targets(starts, g, ranks), [*g, "_bucket"], "inner"), g, value_col, ranks)
+
+
+MEDIAN_RANKS = (lambda n: F.floor((n - 1) / 2), lambda n: F.floor(n / 2))
 
 
 def exact_quantile(
@@ -35,56 +106,24 @@ def exact_quantile(
     value_col: str,
     q: float = 0.5,
     n_buckets: int = 256,
-    accuracy: int = 100_000,
-    buffer_limit: int = BUFFER_LIMIT,
 ) -> DataFrame:
     """(group..., quantile) for every group with at least one present value.
 
-    The largest group size is checked first (one small aggregate): when every
-    group fits ``buffer_limit`` values, the exact ``percentile`` aggregate is
-    used; otherwise the bucketed refinement below keeps tasks bounded.
+    Linear interpolation between the order statistics at floor / ceil of
+    q * (n - 1): numpy's default, Spark ``percentile``, DuckDB ``quantile_cont``.
     """
-    g = list(group_cols)
-    v = df.select(*g, F.col(value_col).cast("double").alias("_v")).filter(
+    g = list(group_cols) or ["_g"]
+    v = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    largest = v.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
-    if largest <= buffer_limit:
-        return v.groupBy(*g).agg(F.percentile("_v", F.lit(float(q))).alias("quantile"))
-    return _bucketed_quantile(v, g, q, n_buckets, accuracy)
-
-
-def _bucketed_quantile(v: DataFrame, g: list[str], q: float, n_buckets: int, accuracy: int) -> DataFrame:
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = v.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", probs, accuracy).alias("_bounds"),
-    )
-    if not g:  # one global group: give it a constant key instead of a cross join
-        v, bounds, g = v.withColumn("_g", F.lit(0)), bounds.withColumn("_g", F.lit(0)), ["_g"]
-    # Bounds are one row per group (configuration-sized): broadcast.
-    vb = v.join(F.broadcast(bounds), g, "inner")
-    vb = vb.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
-    counts = vb.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-    w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_bucket")
-    pos = F.lit(float(q)) * (F.col("_n") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-    starts = counts.withColumn("_start", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    starts = starts.withColumn("_start", F.coalesce("_start", F.lit(0)))
-    inside = lambda r: (F.col("_start") <= r) & (r < F.col("_start") + F.col("_c"))
-    needed = starts.filter(inside(lo) | inside(hi)).select(*g, "_bucket", "_start", "_n")
-    # ``needed`` has at most two buckets per group: broadcast.
-    cand = vb.drop("_n").join(F.broadcast(needed), [*g, "_bucket"], "inner")
-    rank = F.col("_start") + F.row_number().over(Window.partitionBy(*g, "_bucket").orderBy("_v")) - 1
-    ranked = cand.withColumn("_rank", rank)
-    picked = ranked.groupBy(*g).agg(
-        F.first("_n").alias("_n"),
-        F.max(F.when(ranked["_rank"] == F.floor(F.lit(float(q)) * (F.col("_n") - 1)), F.col("_v"))).alias("_lo"),
-        F.max(F.when(ranked["_rank"] == F.ceil(F.lit(float(q)) * (F.col("_n") - 1)), F.col("_v"))).alias("_hi"),
-    )
-    frac = F.lit(float(q)) * (F.col("_n") - 1) - F.floor(F.lit(float(q)) * (F.col("_n") - 1))
-    out = picked.select(*g, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("quantile"))
-    return out.drop("_g")
+    v = v if group_cols else v.withColumn("_g", F.lit(0))
+    position = lambda n: F.lit(float(q)) * (n - 1)
+    counts = v.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("c"))
+    picked = _order_statistics(counts, g, "_v", n_buckets,
+                               (lambda n: F.floor(position(n)), lambda n: F.ceil(position(n))))
+    share = position(F.col("_total_c")) - F.floor(position(F.col("_total_c")))
+    return picked.select(
+        *group_cols, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias("quantile"))
 
 
 def weighted_median(
@@ -93,48 +132,32 @@ def weighted_median(
     value_col: str = "value",
     weight_col: str = "c",
     n_buckets: int = 256,
-    window_limit: int = 2_000_000,
 ) -> DataFrame:
     """Exact median per group of a (value, count) table: mean of the two
-    middle order statistics of the expanded multiset.
+    middle order statistics of the expanded multiset."""
+    g = list(group_cols)
+    reduced = counts.groupBy(*g, value_col).agg(F.sum(weight_col).alias("c"))
+    picked = _order_statistics(reduced, g, value_col, n_buckets, MEDIAN_RANKS)
+    return picked.select(*g, ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
+
 
-    Fast path (largest group <= ``window_limit`` distinct values): one
-    cumulative window per group. Otherwise the distinct values are bucketed
-    by approximate quantile bounds, bucket weights are prefix-summed, and the
-    cumulative window runs only inside the one or two buckets that hold the
-    middle ranks.
+def training_medians(counts: DataFrame, keys: Sequence[str], n_splits: int, n_buckets: int = 256) -> DataFrame:
+    """Exact median of every training part from per-test-fold (value, count) rows.
+
+    ``counts`` has ``keys``, ``fold``, ``value``, ``c``. Bucket totals per test
+    fold (``n_buckets`` rows each) are added over the other folds; only the
+    values of the bucket that holds a part's middle ranks are copied to that
+    part, never the column itself. Returns keys, ``outer_fold``, ``median``.
     """
-    g = list(group_cols)
-    checkpoint_dir(counts.sparkSession)
-    counts = counts.checkpoint()  # reduced table: check its size without recomputing upstream
-    largest = counts.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
-    lo_rank = lambda n: F.floor((n + 1) / 2)  # noqa: E731  (1-based lower middle)
-    hi_rank = lambda n: F.floor(n / 2) + 1
-    if largest <= window_limit:
-        w = Window.partitionBy(*g).orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = counts.select(*g, value_col, weight_col, F.sum(weight_col).over(w).alias("_cum"),
-                            F.sum(weight_col).over(Window.partitionBy(*g)).alias("_n"))
-        start = F.col("_cum") - F.col(weight_col)
-    else:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        bounds = counts.groupBy(*g).agg(F.percentile_approx(value_col, probs, 10_000).alias("_bounds"),
-                                        F.sum(weight_col).alias("_n"))
-        vb = counts.join(F.broadcast(bounds), g, "inner").withColumn(
-            "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value_col)))).drop("_bounds")
-        per = vb.groupBy(*g, "_bucket").agg(F.sum(weight_col).alias("_bw"), F.first("_n").alias("_n"))
-        wb = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        per = per.withColumn("_bstart", F.coalesce(F.sum("_bw").over(wb), F.lit(0)))
-        inside = lambda r: (F.col("_bstart") < r) & (r <= F.col("_bstart") + F.col("_bw"))
-        need = per.filter(inside(lo_rank(F.col("_n"))) | inside(hi_rank(F.col("_n")))).select(
-            *g, "_bucket", "_bstart", "_n")
-        cand = vb.drop("_n").join(F.broadcast(need), [*g, "_bucket"], "inner")
-        w = Window.partitionBy(*g, "_bucket").orderBy(value_col).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        cum = cand.withColumn("_cum", F.col("_bstart") + F.sum(weight_col).over(w))
-        start = F.col("_cum") - F.col(weight_col)
-    covers = lambda k: (start < k) & (F.col("_cum") >= k)
-    best = cum.groupBy(*g).agg(
-        F.max(F.when(covers(lo_rank(F.col("_n"))), F.col(value_col))).alias("_lo"),
-        F.max(F.when(covers(hi_rank(F.col("_n"))), F.col(value_col))).alias("_hi"),
-    )
-    return best.select(*g, ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
+    k = list(keys)
+    part = [*k, "outer_fold"]
+    folds = F.explode(F.sequence(F.lit(1), F.lit(int(n_splits))))
+    vb = with_buckets(counts, k, "value", n_buckets)
+    per_fold = vb.groupBy(*k, "fold", "_bucket").agg(F.sum("c").alias("c"))
+    per_part = per_fold.withColumn("outer_fold", folds).filter("fold <> outer_fold").groupBy(
+        *part, "_bucket").agg(F.sum("c").alias("c"))
+    need = _targets(bucket_starts(per_part, part, ["c"]), part, MEDIAN_RANKS)
+    cand = vb.join(need, [*k, "_bucket"], "inner").filter("fold <> outer_fold").groupBy(
+        *part, "_bucket", "_start_c", "_total_c", "value").agg(F.sum("c").alias("c"))
+    picked = _pick(cand, part, "value", MEDIAN_RANKS)
+    return picked.select(*part, ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))

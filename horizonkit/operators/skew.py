@@ -6,11 +6,11 @@ eligible subjects) have an aggregate on the small side, so a subject with a
 third of all visits would be one straggler task. ``split_hot_keys``:
 
 1. counts rows per key (partial aggregation) and keeps keys holding more
-   than an average partition's share (``total / partitions``) and at least
-   ``min_rows`` rows. At most ``partitions`` keys can qualify, so the list
-   that comes back to the driver is bounded;
+   than an average partition's share (``total / partitions``). Fewer than
+   ``partitions`` keys can qualify, so the list that comes back to the driver
+   is bounded by its rule, at every size of the table;
 2. gives each row of a hot key a salt in ``[0, s_key)`` from a hash of the
-   row (``s_key`` = the key's rows / average share, capped), other rows get
+   row (``s_key`` = the key's rows / average share, rounded up), other rows get
    salt 0;
 3. replicates only the hot keys' rows of the small side ``s_key`` times.
 
@@ -20,6 +20,7 @@ aggregations after it still aggregate partially before their exchange.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -27,12 +28,8 @@ from pyspark.sql import functions as F
 
 from horizonkit.session import checkpoint_dir
 
-MAX_SALTS = 512
-# A key is hot only above an average partition's share AND this many rows.
-HOT_KEY_MIN_ROWS = 100_000
 
-
-def hot_keys(df: DataFrame, key: str, min_rows: int | None = None, partitions: int | None = None) -> dict:
+def hot_keys(df: DataFrame, key: str, partitions: int | None = None) -> dict:
     """{key value: salts} for keys above the average partition share.
 
     The per-key counts (one row per key, partial aggregation) are written
@@ -40,24 +37,20 @@ def hot_keys(df: DataFrame, key: str, min_rows: int | None = None, partitions: i
     """
     checkpoint_dir(df.sparkSession)
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_c")).checkpoint()
-    return hot_from_counts(counts, key, "_c", min_rows, partitions)
-
-
-def hot_from_counts(per_key: DataFrame, key: str, count_col: str, min_rows: int | None = None,
-                    partitions: int | None = None) -> dict:
-    """Hot keys from an existing one-row-per-key count table (one small job,
-    a second only when some key is above the limit)."""
-    min_rows = HOT_KEY_MIN_ROWS if min_rows is None else min_rows
-    spark = per_key.sparkSession
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    row = per_key.agg(F.sum(count_col).alias("t"), F.max(count_col).alias("m")).first()
-    total, largest = (row["t"] or 0), (row["m"] or 0)
-    share = max(total / max(p, 1), 1.0)
-    limit = max(share, float(min_rows))
-    if largest <= limit:
-        return {}
-    hot = per_key.filter(F.col(count_col) > F.lit(limit)).orderBy(F.desc(count_col)).limit(p).collect()
-    return {r[key]: int(min(MAX_SALTS, max(2, -(-r[count_col] // int(share))))) for r in hot}
+    return hot_from_counts(counts, key, "_c", partitions)
+
+
+def hot_from_counts(per_key: DataFrame, key: str, count_col: str, partitions: int | None = None) -> dict:
+    """Hot keys from an existing one-row-per-key count table.
+
+    Keys above ``total / partitions`` rows number fewer than ``partitions``,
+    and so do a key's salts: the list that returns is bounded by its rule.
+    """
+    p = max(partitions or int(per_key.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    total = per_key.agg(F.sum(count_col)).first()[0] or 0
+    share = max(total / p, 1.0)
+    hot = per_key.filter(F.col(count_col) > F.lit(share)).select(key, count_col).collect()
+    return {r[0]: math.ceil(r[1] / share) for r in hot}
 
 
 def _salt_map(hot: dict):
@@ -89,10 +82,9 @@ def split_hot_keys(
     key: str,
     how: str = "inner",
     row_cols: Sequence[str] | None = None,
-    min_rows: int | None = None,
 ) -> DataFrame:
     """``big.join(small, key, how)`` with hot keys of ``big`` spread out."""
-    hot = hot_keys(big, key, min_rows)
+    hot = hot_keys(big, key)
     if not hot:
         return big.join(small, key, how)
     b = salt_big_side(big, key, hot, row_cols or big.columns)

@@ -8,6 +8,7 @@ subsets, caps or samples) and returns a lazy DataFrame. Names follow
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -215,14 +216,26 @@ def src4_split_genetics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts["genetics"]
 
 
+@register("src4_split_tables")
+def src4_split_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four narrow tables of the split, told apart by ``block``."""
+    parts = SRC.split_wide_table(
+        visit_table(spark, sf_dir),
+        {"clinical": ["SCORE", "MEDICATION_STATE"], "biofluid": ["SUM_QTY"], "imaging": ["N_LINES", "MAX_DISC"],
+         "genetics": ["DIAGNOSTIC_GROUP", "ACCTBAL", "ROW_ID"]},
+    )
+    tagged = [df.withColumn("block", F.lit(name)) for name, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+
+
 @register("snk3_table_fingerprint")
 def snk3_table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from horizonkit.sources.tables import read_table
 
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus",
-        F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"),
+        F.col("o_totalprice").cast("decimal(20,8)").alias("o_totalprice"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("o_orderdate"),
         "o_orderpriority",
     )
     return SNK.table_fingerprint(orders)

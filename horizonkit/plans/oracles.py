@@ -378,10 +378,11 @@ def _src2() -> str:
     for name, dtype in (("PATNO", "DOUBLE"), ("EVENT_ID", "VARCHAR"), ("visit_date", "DATE"),
                         ("updrs3_score", "DOUBLE")):
         decl = {"DOUBLE": "double", "VARCHAR": "string", "DATE": "date"}[dtype]
+        parsed = PARSED_DATE if name == "visit_date" else f"try_cast({name} AS {dtype})"
         parts.append(
             f"SELECT '{name}' AS column_name, '{decl}' AS declared_type, CAST(count(*) AS BIGINT) AS rows, "
             f"CAST(count(*) FILTER (WHERE {name} IS NULL) AS BIGINT) AS nulls, "
-            f"CAST(count(*) FILTER (WHERE {name} IS NOT NULL AND try_cast({name} AS {dtype}) IS NULL) AS BIGINT) "
+            f"CAST(count(*) FILTER (WHERE {name} IS NOT NULL AND {parsed} IS NULL) AS BIGINT) "
             f"AS failed_casts FROM tx"
         )
     return f"WITH {LI_FEATURES}, {VISITS}, {TEXT_EXPORT}\n" + "\nUNION ALL\n".join(parts)
@@ -409,11 +410,23 @@ SELECT PATNO, DIAGNOSTIC_GROUP, ACCTBAL, ROW_ID FROM (
   FROM visits WHERE PATNO IS NOT NULL) q WHERE rn = 1"""
 
 
+@oracle("src4_split_tables")
+def _src4_tables() -> str:
+    keys = "PATNO, EVENT_ID, VISIT_DATE"
+    return f"""WITH {LI_FEATURES}, {VISITS}
+SELECT 'clinical' AS block, {keys}, SCORE, MEDICATION_STATE FROM visits
+UNION ALL BY NAME SELECT 'biofluid' AS block, {keys}, SUM_QTY FROM visits
+UNION ALL BY NAME SELECT 'imaging' AS block, {keys}, N_LINES, MAX_DISC FROM visits
+UNION ALL BY NAME SELECT 'genetics' AS block, PATNO, DIAGNOSTIC_GROUP, ACCTBAL, ROW_ID FROM (
+  SELECT *, row_number() OVER (PARTITION BY PATNO ORDER BY ROW_ID) AS rn
+  FROM visits WHERE PATNO IS NOT NULL) q WHERE rn = 1"""
+
+
 @oracle("snk3_table_fingerprint")
 def _snk3() -> str:
     fields = [
         "CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus",
-        "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)", "strftime(o_orderdate, '%Y-%m-%d')",
+        "CAST(CAST(o_totalprice AS DECIMAL(20,8)) AS VARCHAR)", "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')",
         "o_orderpriority",
     ]
     text = ", ".join(f"coalesce({f}, '\\N')" for f in fields)

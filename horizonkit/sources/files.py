@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from horizonkit.errors import DataFileNotFoundError, MissingColumnError, require_columns
+from horizonkit.errors import DataFileNotFoundError, require_columns
 from horizonkit.functions.expressions import label_norm, lenient_double, lenient_timestamp
 
 # --- fixed values --------------------------------------------------------
@@ -35,34 +35,34 @@ def read_source(spark: SparkSession, path: str, case_sensitive: bool = False) ->
 
     ``case_sensitive`` keeps headers that differ only by case apart (a visit
     export may carry ``moca`` and ``MOCA``); Spark's default reader would
-    rename them.
+    rename them. The session's own setting is as before afterwards, so such
+    columns are told apart by place (``toDF``) or in a case-sensitive session.
     """
     lower = path.lower().rstrip("/")
     fmt = next((f for s, f in SUFFIX_FORMATS.items() if lower.endswith(s)), None)
     if fmt is None:
         raise ValueError("Input must be a .csv, .parquet or .json path.")
-    if case_sensitive:
-        spark.conf.set("spark.sql.caseSensitive", "true")
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", "true").option("inferSchema", "false")
+    before = spark.conf.get("spark.sql.caseSensitive")
     try:
+        if case_sensitive:  # headers are told apart while they are read, and only then
+            spark.conf.set("spark.sql.caseSensitive", "true")
         df = reader.load(path)
         df.schema  # resolve now: a missing path fails here, not in a later job
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
             raise DataFileNotFoundError(f"Input file was not found: {path}") from exc
         raise
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
     return df
 
 
 def validate_schema(df: DataFrame, required: Iterable[str] = EXPORT_REQUIRED_COLUMNS) -> DataFrame:
     """SRC2 gate: sorted missing columns in the error; reads no rows."""
-    missing = sorted(set(required).difference(df.columns))
-    if missing:
-        raise MissingColumnError(
-            "Unsupported input: required columns are missing: " + ", ".join(missing)
-        )
+    require_columns(df.columns, required, "The table does not meet its contract")
     return df
 
 
@@ -70,14 +70,24 @@ def contract_report(df: DataFrame, contract: Mapping[str, str]) -> DataFrame:
     """SRC2 report: per declared column, rows / nulls / failed casts.
 
     One aggregate over the table; ``failed_casts`` counts present values that
-    do not survive ``try_cast`` to the declared type.
+    the normaliser (SRC3) would not keep either: numbers and dates are read by
+    the same lenient parsers, other types by ``try_cast``.
     """
     validate_schema(df, contract)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def parsed(name: str, dtype: str):
+        if dtype in ("double", "float"):
+            return lenient_double(name, kinds[name])
+        if dtype in ("date", "timestamp", "timestamp_ntz"):
+            return lenient_timestamp(name, kinds[name])
+        return F.col(name).try_cast(dtype)
+
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, (name, dtype) in enumerate(contract.items()):
         c = F.col(name)
         aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
-        aggs.append(F.count_if(c.isNotNull() & c.try_cast(dtype).isNull()).alias(f"f{i}"))
+        aggs.append(F.count_if(c.isNotNull() & parsed(name, dtype).isNull()).alias(f"f{i}"))
     one = df.agg(*aggs)
     rows = [
         F.struct(

@@ -41,9 +41,11 @@ def test_endpoint_requires_state_and_normalises_aliases(spark):
 
 
 def test_unknown_medication_label_raises_only_for_valid_scores(spark):
-    bad = spark.createDataFrame([(1, 10.0, "sometimes")], "PATNO long, SCORE double, MEDICATION_STATE string")
-    with pytest.raises(Exception, match="Unrecognized medication-state labels"):
-        C.apply_endpoint(bad, "x", "SCORE", "OFF").data.collect()
+    bad = spark.createDataFrame([(1, 10.0, "sometimes"), (2, 1.0, "never"), (3, 1.0, "ON"), (4, 1.0, None)],
+                                "PATNO long, SCORE double, MEDICATION_STATE string")
+    for table in ("data", "flow"):  # the whole list, sorted
+        with pytest.raises(Exception, match="Unrecognized medication-state labels: missing values, never, sometimes"):
+            getattr(C.apply_endpoint(bad, "x", "SCORE", "OFF"), table).collect()
     skipped = spark.createDataFrame([(1, None, "sometimes"), (2, 3.0, "0")],
                                     "PATNO long, SCORE double, MEDICATION_STATE string")
     assert C.apply_endpoint(skipped, "x", "SCORE", "OFF").data.count() == 1
@@ -112,7 +114,8 @@ def test_read_source_by_suffix(spark, tmp_path):
     p.write_text("PATNO,moca,MOCA\n1,27,99\n")
     df = SRC.read_source(spark, str(p), case_sensitive=True)
     assert df.columns == ["PATNO", "moca", "MOCA"] and dict(df.dtypes)["moca"] == "string"
-    spark.conf.set("spark.sql.caseSensitive", "false")
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"  # the session's own setting is back
+    assert [tuple(r) for r in df.collect()] == [("1", "27", "99")]
     with pytest.raises(ValueError):
         SRC.read_source(spark, str(tmp_path / "v.xlsx"))
     with pytest.raises(FileNotFoundError):
@@ -140,9 +143,9 @@ def test_fingerprint_is_order_free(spark):
 
 
 def test_contract_report_counts_nulls_and_failed_casts(spark):
-    df = spark.createDataFrame([("1", "2020-01-01"), ("x", None), (None, "01/02/2020")], "PATNO string, visit_date string")
+    df = spark.createDataFrame([("1", "2020-01-01"), ("x", None), (None, "01/02/2020"), ("2", "soon")], "PATNO string, visit_date string")
     rep = {r["column_name"]: r for r in SRC.contract_report(df, {"PATNO": "double", "visit_date": "date"}).collect()}
-    assert (rep["PATNO"]["rows"], rep["PATNO"]["nulls"], rep["PATNO"]["failed_casts"]) == (3, 1, 1)
+    assert (rep["PATNO"]["rows"], rep["PATNO"]["nulls"], rep["PATNO"]["failed_casts"]) == (4, 1, 1)
     assert (rep["visit_date"]["nulls"], rep["visit_date"]["failed_casts"]) == (1, 1)
 
 

@@ -180,7 +180,7 @@ def test_fold_imputation_and_scaling_match_numpy(spark):
 def test_exact_quantile_bucketed_path_equals_percentile(spark):
     df = spark.range(0, 2001).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1013).cast("double").alias("v"))
     fast = {r["g"]: r["quantile"] for r in exact_quantile(df, ["g"], "v", 0.5).collect()}
-    slow = {r["g"]: r["quantile"] for r in exact_quantile(df, ["g"], "v", 0.5, n_buckets=16, buffer_limit=0).collect()}
+    slow = {r["g"]: r["quantile"] for r in exact_quantile(df, ["g"], "v", 0.5, n_buckets=16).collect()}
     pdf = df.toPandas()
     for g, part in pdf.groupby("g"):
         assert fast[g] == pytest.approx(float(np.quantile(part["v"], 0.5)))
@@ -216,7 +216,7 @@ def test_weighted_median_bucketed_path_is_exact(spark):
     rows = [(g, float((i * 37) % 101), 1 + (i % 3)) for g in range(3) for i in range(400 + g)]
     df = spark.createDataFrame(rows, "g int, value double, c long")
     fast = {r["g"]: r["median"] for r in weighted_median(df, ["g"]).collect()}
-    slow = {r["g"]: r["median"] for r in weighted_median(df, ["g"], n_buckets=8, window_limit=0).collect()}
+    slow = {r["g"]: r["median"] for r in weighted_median(df, ["g"], n_buckets=8).collect()}
     for g in range(3):
         expanded = [v for (gg, v, c) in rows if gg == g for _ in range(c)]
         assert fast[g] == pytest.approx(float(np.median(expanded)))
@@ -229,15 +229,15 @@ def test_bucketed_running_counts_equal_window(spark):
         .groupBy("g", "s").agg(F.sum("a").cast("double").alias("pos"), F.sum("b").cast("double").alias("neg"))
     fast = {(r["g"], r["s"]): (r["tp"], r["fp"], r["n_pos"]) for r in M.cumulative_counts(df, ["g"], "s").collect()}
     slow = {(r["g"], r["s"]): (r["tp"], r["fp"], r["n_pos"])
-            for r in M.cumulative_counts(df, ["g"], "s", window_limit=0, n_buckets=16).collect()}
+            for r in M.cumulative_counts(df, ["g"], "s", n_buckets=16).collect()}
     assert fast == slow
 
 
 def test_exact_quantile_without_groups_bucketed(spark):
     df = spark.range(0, 1001).select(((F.col("id") * 7919) % 1009).cast("double").alias("v"))
-    got = exact_quantile(df, [], "v", 0.5, n_buckets=16, buffer_limit=0).collect()
+    got = exact_quantile(df, [], "v", 0.5, n_buckets=16).collect()
     assert len(got) == 1 and got[0]["quantile"] == pytest.approx(float(np.quantile(df.toPandas()["v"], 0.5)))
-    assert "_g" not in exact_quantile(df, [], "v", 0.25, n_buckets=16, buffer_limit=0).columns
+    assert "_g" not in exact_quantile(df, [], "v", 0.25, n_buckets=16).columns
 
 
 def test_poisson_bootstrap_is_reproducible(spark):
@@ -275,3 +275,33 @@ def test_null_depth_is_unlimited(spark):
     model = build_model("random_forest", True, seed=1)
     maps = _param_maps(model, {"max_depth": [3, None]})
     assert sorted(v for m in maps for v in m.values()) == [3, UNLIMITED_DEPTH]
+
+
+def test_unshuffled_folds_rank_by_id_whatever_the_outlier(spark):
+    from horizonkit.operators.quantiles import with_buckets
+
+    ids = spark.range(2000).select(F.col("id").alias("patient_id")).union(
+        spark.createDataFrame([(10**15,)], "patient_id long"))
+    folds = FO.patient_folds(ids, 5, 1, shuffle=False).orderBy("patient_id").collect()
+    assert [r["fold"] for r in folds] == [i % 5 + 1 for i in range(2001)]
+    sizes = with_buckets(ids.withColumn("g", F.lit(0)), ["g"], "patient_id").groupBy("_bucket").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 50
+
+
+def test_training_medians_equal_plain_medians(spark):
+    import random
+    import statistics
+
+    rng = random.Random(7)
+    rows = [(1, f, x, rng.randrange(1, 5), float(rng.choice([0, 1, 2, rng.random() * 50])))
+            for x in ("a", "b") for f in range(1, 6) for _ in range(60)]
+    df = spark.createDataFrame(rows, "repeat int, fold int, feature string, c long, value double")
+    from horizonkit.operators.quantiles import training_medians
+
+    got = {(r.feature, r.outer_fold): r.median
+           for r in training_medians(df, ["repeat", "feature"], 5, n_buckets=16).collect()}
+    assert len(got) == 10
+    for x in ("a", "b"):
+        for k in range(1, 6):
+            part = [v for _, f, y, c, v in rows if y == x and f != k for _ in range(c)]
+            assert abs(got[x, k] - statistics.median(part)) < 1e-12

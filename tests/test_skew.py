@@ -47,10 +47,9 @@ def _brute(df: pd.DataFrame, h: int, t: int) -> dict[int, tuple]:
     return out
 
 
-def test_pairing_with_hot_subject_matches_brute_force(spark, monkeypatch):
+def test_pairing_with_hot_subject_matches_brute_force(spark):
     from horizonkit.operators import skew
 
-    monkeypatch.setattr(skew, "HOT_KEY_MIN_ROWS", 100)
     hot = skew.hot_from_counts(spark.createDataFrame([(1, 3000), (2, 10)], "PATNO long, n long"), "PATNO", "n",
                                partitions=8)
     assert list(hot) == [1] and hot[1] >= 2
@@ -77,10 +76,9 @@ def test_pairing_with_hot_subject_matches_brute_force(spark, monkeypatch):
     assert summary["baseline_patients"] == 601
 
 
-def test_cohort_semi_join_with_hot_subject(spark, monkeypatch):
+def test_cohort_semi_join_with_hot_subject(spark):
     from horizonkit.operators import cohort, skew
 
-    monkeypatch.setattr(skew, "HOT_KEY_MIN_ROWS", 100)
     rows = [(1, "PD", "BL" if i == 0 else "V1") for i in range(3000)] + \
            [(p, "PD" if p % 2 else "HC", "BL") for p in range(2, 400)]
     df = spark.createDataFrame(rows, "PATNO long, DIAGNOSTIC_GROUP string, EVENT_ID string")
@@ -88,12 +86,11 @@ def test_cohort_semi_join_with_hot_subject(spark, monkeypatch):
     assert res.data.count() == 3000 + len([p for p in range(2, 400) if p % 2])
 
 
-def test_endpoint_delta_with_hot_subject(spark, monkeypatch):
+def test_endpoint_delta_with_hot_subject(spark):
     from pyspark.sql import functions as F
 
     from horizonkit.operators import skew
 
-    monkeypatch.setattr(skew, "HOT_KEY_MIN_ROWS", 100)
     base = dt.datetime(2020, 1, 1)
     rows = [(1, "BL" if i == 0 else "V1", base + dt.timedelta(days=i), float(i), i) for i in range(2000)]
     rows += [(p, "BL" if k == 0 else "V1", base + dt.timedelta(days=k * 30), float(p + k), 10_000 + p * 10 + k)
