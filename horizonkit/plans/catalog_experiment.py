@@ -44,6 +44,21 @@ def val22_integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.integrity_checks(e.assignments, e.oof, e.manifest, EXP_SPLITS, EXP_REPEATS)
 
 
+@register("val22_audit_tampered")
+def val22_audit_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit on spoilt output: subjects divisible by 7 lose their OOF rows, by 11 have
+    them twice, by 13 also train where they are tested; one configuration is not in the manifest."""
+    e = experiment(spark, sf_dir)
+    pid = F.col("patient_id")
+    oof = e.oof.filter(pid % 7 != 0)
+    oof = oof.unionByName(oof.filter(pid % 11 == 0))
+    leak = e.assignments.filter((pid % 13 == 0) & (F.col("partition") == "test"))
+    assignments = e.assignments.unionByName(leak.withColumn("partition", F.lit("train")))
+    first = e.manifest.agg(F.min("configuration_id")).scalar()
+    manifest = e.manifest.filter(F.col("configuration_id") != first)
+    return A.integrity_checks(assignments, oof, manifest, EXP_SPLITS, EXP_REPEATS)
+
+
 @register("agg23_audit_totals")
 def agg23_audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = experiment(spark, sf_dir)

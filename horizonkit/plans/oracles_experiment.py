@@ -148,9 +148,8 @@ SELECT metric, specification_key, estimate, ci_lower, ci_upper,
 FROM a"""
 
 
-@oracle("val22_integrity_audit")
-def _val22() -> str:
-    return _chain() + """,
+def _checks() -> str:
+    return """,
 tk AS (SELECT configuration_id, fit_id, patient_id FROM asg WHERE partition = 'test'),
 ok AS (SELECT configuration_id, fit_id, patient_id FROM oof),
 c1 AS (SELECT count(*) AS n FROM (SELECT fit_id, patient_id FROM asg GROUP BY ALL
@@ -179,6 +178,23 @@ UNION ALL SELECT 'manifest_matches_predictions', n = 0, CAST(n AS VARCHAR) || '
 UNION ALL SELECT 'expected_fit_count', fits = specs * 10, CAST(fits AS VARCHAR) || ' fits, expected ' || CAST(specs * 10 AS VARCHAR) FROM fitcount"""
 
 
+@oracle("val22_integrity_audit")
+def _val22() -> str:
+    return _chain() + _checks()
+
+
+@oracle("val22_audit_tampered")
+def _val22_tampered() -> str:
+    checks = _checks().replace("FROM oof", "FROM oof2").replace("FROM asg", "FROM asg2")
+    return _chain() + """,
+oof1 AS (SELECT * FROM oof WHERE patient_id % 7 <> 0),
+oof2 AS (SELECT * FROM oof1 UNION ALL SELECT * FROM oof1 WHERE patient_id % 11 = 0),
+asg2 AS (SELECT * FROM asg UNION ALL SELECT * REPLACE ('train' AS partition) FROM asg
+         WHERE patient_id % 13 = 0 AND partition = 'test'),
+man2 AS (SELECT * FROM manifest WHERE configuration_id <> (SELECT min(configuration_id) FROM manifest))""" + \
+        checks.replace("FROM manifest", "FROM man2")
+
+
 @oracle("agg23_audit_totals")
 def _agg23() -> str:
     return _chain() + f"""

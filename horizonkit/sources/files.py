@@ -16,6 +16,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from horizonkit.errors import DataFileNotFoundError, require_columns
 from horizonkit.functions.expressions import label_norm, lenient_double, lenient_timestamp
@@ -33,10 +34,10 @@ SUFFIX_FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json"}
 def read_source(spark: SparkSession, path: str, case_sensitive: bool = False) -> DataFrame:
     """SRC1: read a table chosen by suffix; CSV columns stay text.
 
-    ``case_sensitive`` keeps headers that differ only by case apart (a visit
-    export may carry ``moca`` and ``MOCA``); Spark's default reader would
-    rename them. The session's own setting is as before afterwards, so such
-    columns are told apart by place (``toDF``) or in a case-sensitive session.
+    ``case_sensitive`` tells CSV headers apart that differ only by case (a
+    visit export may carry ``moca`` and ``MOCA``): the spelling of the export
+    contract keeps its name, else the first; the others get their place as a
+    suffix (``MOCA_2``). The session's own setting is left as it was.
     """
     lower = path.lower().rstrip("/")
     fmt = next((f for s, f in SUFFIX_FORMATS.items() if lower.endswith(s)), None)
@@ -47,8 +48,12 @@ def read_source(spark: SparkSession, path: str, case_sensitive: bool = False) ->
         reader = reader.option("header", "true").option("inferSchema", "false")
     before = spark.conf.get("spark.sql.caseSensitive")
     try:
-        if case_sensitive:  # headers are told apart while they are read, and only then
+        if fmt == "csv" and case_sensitive:  # only while the header line is read
             spark.conf.set("spark.sql.caseSensitive", "true")
+            names = reader.load(path).columns
+            spark.conf.set("spark.sql.caseSensitive", before)
+            # an explicit schema is applied by place
+            reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in _distinct_names(names)]))
         df = reader.load(path)
         df.schema  # resolve now: a missing path fails here, not in a later job
     except AnalysisException as exc:
@@ -60,6 +65,15 @@ def read_source(spark: SparkSession, path: str, case_sensitive: bool = False) ->
     return df
 
 
+def _distinct_names(names: Sequence[str]) -> list[str]:
+    """Header names of which no two differ only by case."""
+    declared = {*EXPORT_REQUIRED_COLUMNS, *EXPORT_NUMERIC_COLUMNS}
+    owner: dict[str, int] = {}
+    for place in sorted(range(len(names)), key=lambda i: (names[i] not in declared, i)):
+        owner.setdefault(names[place].lower(), place)
+    return [n if owner[n.lower()] == i else f"{n}_{i}" for i, n in enumerate(names)]
+
+
 def validate_schema(df: DataFrame, required: Iterable[str] = EXPORT_REQUIRED_COLUMNS) -> DataFrame:
     """SRC2 gate: sorted missing columns in the error; reads no rows."""
     require_columns(df.columns, required, "The table does not meet its contract")

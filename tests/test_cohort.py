@@ -111,9 +111,13 @@ def test_schema_gate_lists_missing_sorted(spark):
 
 def test_read_source_by_suffix(spark, tmp_path):
     p = tmp_path / "v.csv"
+    p.write_text("PATNO,MOCA,moca\n1,99,27\n")
+    swapped = SRC.read_source(spark, str(p), case_sensitive=True)
+    assert [r.asDict() for r in swapped.collect()] == [{"PATNO": "1", "MOCA_1": "99", "moca": "27"}]
+    p = tmp_path / "w.csv"
     p.write_text("PATNO,moca,MOCA\n1,27,99\n")
     df = SRC.read_source(spark, str(p), case_sensitive=True)
-    assert df.columns == ["PATNO", "moca", "MOCA"] and dict(df.dtypes)["moca"] == "string"
+    assert df.columns == ["PATNO", "moca", "MOCA_2"] and dict(df.dtypes)["moca"] == "string"
     assert spark.conf.get("spark.sql.caseSensitive") == "false"  # the session's own setting is back
     assert [tuple(r) for r in df.collect()] == [("1", "27", "99")]
     with pytest.raises(ValueError):
