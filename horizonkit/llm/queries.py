@@ -69,7 +69,7 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     recall = vector_dedup.audit_recall(result, vectors)
     if recall < vector_dedup.LEAST_RECALL:
         raise RuntimeError(f"the graph search found only {recall:.3f} of the audited links")
-    return result
+    return result.drop("n_distinct")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 Vectors are unit-normalised and equal ones reduced to one row. Per label, a
 k-means on a bounded sample gives shard centres; every vector joins its nearest
-few shards, so neighbours across a border still meet. Each shard builds a
-robust-pruned graph. The adjacency lists of the overlapping shards are united
-per vector, and each shard answers its own vectors by a range-expanding greedy
-search from its medoid over the united lists. Hits are verified by the cosine
-in double precision.
+few shards. Each shard builds a robust-pruned graph. The adjacency lists of the
+overlapping shards are united per vector, and each shard answers its own vectors
+by a range-expanding greedy search from its medoid over the united lists; hits
+are verified by the cosine in double precision. Links between vectors of
+different shards come from an exact join of every two shards, of those vectors
+that lie near enough to the border between them.
 """
 
 from __future__ import annotations
@@ -112,35 +113,100 @@ def fit_centres(distinct: DataFrame, sizes: DataFrame, shard_size: int = SHARD_S
     return sampled.groupBy("label").applyInPandas(fit, "label string, centre int, c array<double>")
 
 
-def assign_shards(distinct: DataFrame, sizes: DataFrame, centres: DataFrame, overlap: int = OVERLAP) -> DataFrame:
-    """One row per vector and shard: the ``overlap`` nearest centres, the first one primary.
+def with_centres(rows: DataFrame, sizes: DataFrame, centres: DataFrame, function, schema: str) -> DataFrame:
+    """``function(points, table)`` over chunks of a label's rows, with all its centres by number.
 
     A label's rows are dealt over chunks of bounded size, and its centres (at
     most half a sample) go to every chunk.
     """
     chunks = sizes.select("label", F.ceil(F.col("n") / SAMPLE).cast("int").alias("chunks"))
-    rows = distinct.join(chunks, "label").select(
-        "label", "rep", "copies", "v", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk")
+    dealt = rows.join(chunks, "label").select(
+        *rows.columns, F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk")
     )
     copies = centres.join(chunks, "label").select(
-        F.col("label").alias("of"), "centre", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("at")
+        F.col("label").alias("of"), F.col("centre").alias("number"), "c",
+        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("at"),
+    )
+    return dealt.groupBy("label", "chunk").cogroup(copies.groupBy("of", "at")).applyInPandas(
+        lambda points, table: function(points.drop(columns="chunk"), table.sort_values("number")), schema
     )
 
+
+PLACED = "label string, rep long, copies long, v array<double>, centre int, primary boolean"
+
+
+def assign_shards(distinct: DataFrame, sizes: DataFrame, centres: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+    """One row per vector and shard: the ``overlap`` nearest centres, the first one primary."""
+
     def nearest(points: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        out = points[["label", "rep", "copies", "v"]]
         if points.empty:
-            return out.assign(centre=0, primary=False)
-        table = table.sort_values("centre")
+            return points.assign(centre=0, primary=False)
         wide = min(overlap, len(table))
         cosines = np.stack(points["v"].to_numpy()) @ np.stack(table["c"].to_numpy()).T
         best = np.argsort(-cosines, axis=1, kind="stable")[:, :wide]
-        return pd.concat([out.assign(centre=best[:, k], primary=k == 0) for k in range(wide)])
+        return pd.concat([points.assign(centre=best[:, k], primary=k == 0) for k in range(wide)])
+
+    return with_centres(distinct.select("label", "rep", "copies", "v"), sizes, centres, nearest, PLACED)
 
-    return rows.groupBy("label", "chunk").cogroup(copies.groupBy("of", "at")).applyInPandas(
-        nearest, "label string, rep long, copies long, v array<double>, centre int, primary boolean"
+
+def border_shards(placed: DataFrame, sizes: DataFrame, centres: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Primary rows with ``across``: the other shards that may hold a vector linked to theirs.
+
+    A vector is on its own side of the plane halfway between its centre and
+    another one. One further from that plane than the link angle allows has no
+    link to the other side.
+    """
+    reach = np.sqrt(1 - threshold**2) if threshold > 0 else np.inf
+
+    def reachable(points: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        across = pd.Series([None] * len(points), index=points.index, dtype=object)
+        numbers, c = table["number"].to_numpy(), np.stack(table["c"].to_numpy()) if len(table) else None
+        for own, part in points.groupby("centre"):
+            at = int(np.searchsorted(numbers, own))
+            limit = reach * np.linalg.norm(c[at] - c, axis=1) + 1e-9
+            limit[at] = -1
+            for start in range(0, len(part), BLOCK):
+                block = part.iloc[start : start + BLOCK]
+                cosines = np.stack(block["v"].to_numpy()) @ c.T
+                for row, near in zip(block.index, cosines[:, [at]] - cosines <= limit):
+                    across[row] = numbers[near].tolist()
+        return points.assign(across=across)
+
+    rows = placed.where("primary").drop("primary")
+    return with_centres(
+        rows, sizes, centres, reachable,
+        "label string, rep long, copies long, v array<double>, centre int, across array<int>",
     )
 
 
+def border_links(rows: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
+    """All links between two shards, as the ``count`` and ``star`` rows of ``shard_links``."""
+    rows = rows.sort_values(["centre", "rep"])
+    low = int((rows["centre"] == rows["low"]).sum())
+    points, copies, reps = np.stack(rows["v"].to_numpy()), rows["copies"].to_numpy(), rows["rep"].to_numpy()
+    count, distinct, group = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.arange(len(rows))
+    for start in range(0, low, BLOCK):
+        end = min(low, start + BLOCK)
+        for first in range(low, len(rows), 8 * BLOCK):
+            last = min(len(rows), first + 8 * BLOCK)
+            near = points[start:end] @ points[first:last].T >= threshold
+            count[start:end] += near @ copies[first:last]
+            count[first:last] += near.T @ copies[start:end]
+            distinct[start:end] += near.sum(1)
+            distinct[first:last] += near.sum(0)
+            for row in np.flatnonzero(near.any(1)).tolist():
+                met = np.unique(np.append(group[first:last][near[row]], group[start + row]))
+                if len(met) > 1:
+                    group[np.isin(group, met)] = met[0]
+    linked, moved = np.flatnonzero(distinct), np.flatnonzero(group != np.arange(len(rows)))
+    return pd.DataFrame({
+        "kind": np.array(["count"] * len(linked) + ["star"] * len(moved), object),
+        "a": np.concatenate((reps[linked], reps[moved])), "b": np.concatenate((reps[linked], reps[group[moved]])),
+        "n": np.concatenate((count[linked], np.zeros_like(moved))),
+        "m": np.concatenate((distinct[linked], np.zeros_like(moved))),
+    })
+
+
 def robust_prune(similar: np.ndarray, between: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Positions kept of candidates sorted by falling cosine.
 
@@ -218,10 +284,10 @@ def range_search(points: np.ndarray, graph: list[np.ndarray], queries: np.ndarra
 
 
 def shard_links(rows: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
-    """Links of one shard's primary vectors, as ``kind, a, b, n`` rows.
+    """Links among one shard's primary vectors, as ``kind, a, b, n, m`` rows.
 
-    ``count``: linked rows of vector ``a`` that are primary here too; ``star``:
-    a spanning forest of those links; ``cross``: links to other shards' vectors.
+    ``count``: ``n`` linked rows and ``m`` linked distinct vectors of ``a``;
+    ``star``: a spanning forest of the links.
     """
     rows = rows.sort_values("rep").reset_index(drop=True)
     points, reps, primary = np.stack(rows["v"].to_numpy()), rows["rep"].to_numpy(), rows["primary"].to_numpy()
@@ -235,8 +301,9 @@ def shard_links(rows: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFram
     asked = np.flatnonzero(primary)
     links: set[tuple[int, int]] = set()
     for query, found in zip(asked.tolist(), range_search(points, graph, asked, threshold)):
-        links.update((min(query, p), max(query, p)) for p in found.tolist())
-    count, parent, out = np.zeros(len(reps), np.int64), list(range(len(reps))), []
+        links.update((min(query, p), max(query, p)) for p in found[primary[found]].tolist())
+    count, distinct = np.zeros(len(reps), np.int64), np.zeros(len(reps), np.int64)
+    parent = list(range(len(reps)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -245,22 +312,24 @@ def shard_links(rows: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFram
         return x
 
     for a, b in links:
-        if primary[a] and primary[b]:
-            count[a] += copies[b]
-            count[b] += copies[a]
-            low, high = sorted((root(a), root(b)))
-            parent[high] = low
-        else:
-            out.append(("cross", reps[a], reps[b], 0))
-    out += [("count", reps[i], reps[i], count[i]) for i in np.flatnonzero(count)]
-    out += [("star", reps[i], reps[r], 0) for i in range(len(reps)) if (r := root(i)) != i]
-    return pd.DataFrame(out, columns=["kind", "a", "b", "n"])
+        count[a] += copies[b]
+        count[b] += copies[a]
+        distinct[[a, b]] += 1
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    out = [("count", reps[i], reps[i], count[i], distinct[i]) for i in np.flatnonzero(distinct)]
+    out += [("star", reps[i], reps[r], 0, 0) for i in range(len(reps)) if (r := root(i)) != i]
+    return pd.DataFrame(out, columns=["kind", "a", "b", "n", "m"])
+
+
+LINKS = "kind string, a long, b long, n long, m long"
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_size: int = SHARD_SIZE,
                     overlap: int = OVERLAP) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` per row of ``vectors(vec_id, embedding, label)``.
+    """``(vec_id, n_links, n_distinct, component_id, kept)`` per row of ``vectors(vec_id, embedding, label)``.
 
+    ``n_links`` counts linked rows, ``n_distinct`` linked vectors other than the row's own.
     Vectors that cannot link (see ``unit_vectors``) have no
     links and are their own component. Equal vectors are one node with a
     count, so a hot vector costs one row; repeated rows are copies too. An
@@ -285,31 +354,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_size
     lists = placed.groupBy("label", "centre").applyInPandas(link_lists, "label string, rep long, near array<long>")
     united = lists.groupBy("label", "rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     joined = placed.join(united, ["label", "rep"])
-    found = materialise(
-        joined.groupBy("label", "centre").applyInPandas(
-            lambda shard: shard_links(shard, threshold), "kind string, a long, b long, n long"
-        ),
-        "links",
+    within = joined.groupBy("label", "centre").applyInPandas(lambda shard: shard_links(shard, threshold), LINKS)
+    border = border_shards(placed, sizes, centres, threshold).withColumn("other", F.explode("across")).select(
+        "label", F.least("centre", "other").alias("low"), F.greatest("centre", "other").alias("high"),
+        "centre", "rep", "copies", "v",
     )
-    cross = found.where("kind = 'cross'").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    size = distinct.select("rep", "copies")
-    ends = cross.unionByName(cross.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    between = border.groupBy("label", "low", "high").applyInPandas(lambda pair: border_links(pair, threshold), LINKS)
+    found = materialise(within.unionByName(between), "links")
     counts = (
-        found.where("kind = 'count'").select("a", "n")
-        .unionByName(ends.join(size, ends["b"] == size["rep"]).select("a", F.col("copies").alias("n")))
-        .groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+        found.where("kind = 'count'").groupBy(F.col("a").alias("rep"))
+        .agg(F.sum("n").alias("others"), F.sum("m").alias("n_distinct"))
     )
-    roots = connected_components(found.where("kind = 'star'").select("a", "b").unionByName(cross))
+    roots = connected_components(found.where("kind = 'star'").select("a", "b").distinct())
     nodes = (
         distinct.select("key", "rep", "copies").join(counts, "rep", "left")
         .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
+        .select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "n_distinct",
                 F.coalesce("root", "rep").alias("component_id"))
     )
     linked = rows.select("vec_id", "key").join(nodes, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return linked.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"), component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
     )
 

@@ -223,6 +223,25 @@ def test_vectors(spark):
     assert vector_dedup.near_duplicates(table.where("false")).count() == 0
 
 
+def test_vectors_of_one_cluster_over_many_shards(spark):
+    rng = np.random.default_rng(5)
+    cluster = rng.normal(size=24) + rng.normal(size=(1500, 24)) * 0.17
+    loose = rng.normal(size=(300, 24))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate((cluster, loose)))]
+    rows += [(1800 + k, rows[k % 7][1], 0) for k in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(table, shard_size=100).collect()}
+    unit = np.array([vector_dedup.unit(r[1]) for r in rows])
+    near = unit @ unit.T >= vector_dedup.THRESHOLD
+    true = near.sum(1) - 1
+    found = np.array([got[r[0]].n_links for r in rows])
+    assert true.sum() > 500_000 and (found <= true).all() and found.sum() >= 0.99 * true.sum()
+    component = np.arange(len(rows))
+    while (lower := np.where(near, component, len(rows)).min(1)).tolist() != component.tolist():
+        component = lower
+    assert [got[r[0]].component_id for r in rows] == component.tolist()
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
