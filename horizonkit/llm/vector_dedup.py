@@ -25,6 +25,7 @@ from horizonkit.llm.components import connected_components
 
 THRESHOLD = 0.93
 LEAST_RECALL = 0.9
+AUDITED = 1000
 SHARD_SIZE = 1500
 OVERLAP = 3
 SAMPLE = 20_000
@@ -381,33 +382,41 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_size
     )
 
 
-def audit_recall(result: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, per_label: int = 100) -> float:
-    """Share of the true links of about ``per_label`` vectors of each label that were found.
+def audit_recall(result: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, audited: int = AUDITED) -> float:
+    """Share found of the true links between unequal vectors, of ``audited`` vectors over all labels.
 
-    Brute force of a bounded query table against all rows, block by block.
+    Brute force of the audited vectors against all distinct vectors of their
+    labels. The smaller of the share of all links and the mean share per
+    audited vector with links; 1 where there are none. Ids whose rows disagree
+    (one id with unequal vectors) are not audited.
     """
-    rows = unit_vectors(vectors).where("v is not null")
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
-    pick = F.pmod(F.xxhash64(F.col("vec_id"), F.lit(7)), F.lit(1 << 20)) < F.lit(float(per_label << 20)) / F.col("n")
-    queries = rows.join(sizes, "label").where(pick).select("vec_id", "label", "v")
-    # labels x per_label rows: bounded by the number of labels
-    asked = {label: part for label, part in queries.toPandas().groupby("label")}
-    shared = result.sparkSession.sparkContext.broadcast(
-        {label: (part["vec_id"].to_numpy(), np.stack(part["v"].to_numpy())) for label, part in asked.items()}
+    distinct = materialise(
+        unit_vectors(vectors).where("key is not null").groupBy("key")
+        .agg(F.min("vec_id").alias("rep"), F.any_value("label").alias("label"), F.any_value("v").alias("v")),
+        "audit-vectors",
+    )
+    sizes = distinct.groupBy("label").agg(F.count("*").alias("n"))
+    asked = (
+        distinct.withColumn("h", F.xxhash64("rep", F.lit(7))).orderBy("h", "rep").limit(audited)
+        .select("label", F.col("rep").alias("centre"), F.col("v").alias("c"))
     )
 
-    def count(batches):
-        for batch in batches:
-            for label, part in batch.groupby("label"):
-                if label in shared.value:
-                    ids, points = shared.value[label]
-                    near = (points @ np.stack(part["v"].to_numpy()).T) >= threshold
-                    yield pd.DataFrame({"vec_id": ids, "true_links": near.sum(1)})
-
-    truth = rows.mapInPandas(count, "vec_id long, true_links long").groupBy("vec_id").agg(
-        (F.sum("true_links") - 1).alias("true_links")  # the vector meets itself
+    def count(points: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        true = np.zeros(len(table), np.int64)
+        for start in range(0, len(points) if len(table) else 0, 8 * BLOCK):
+            block = np.stack(points["v"].iloc[start : start + 8 * BLOCK].to_numpy())
+            true += (np.stack(table["c"].to_numpy()) @ block.T >= threshold).sum(1)
+        return pd.DataFrame({"vec_id": table["number"], "true_links": true})
+
+    truth = (
+        with_centres(distinct.select("label", "rep", "v"), sizes, asked, count, "vec_id long, true_links long")
+        .groupBy("vec_id").agg((F.sum("true_links") - 1).alias("true_links"))  # the vector meets itself
+        .where("true_links > 0")
+    )
+    found = (
+        truth.join(result.select("vec_id", "n_distinct"), "vec_id").groupBy("vec_id")
+        .agg(F.any_value("true_links").alias("true"), F.min("n_distinct").alias("least"), F.max("n_distinct").alias("most"))
+        .where("least = most").withColumn("met", F.least("true", "least"))
     )
-    row = truth.join(result.select("vec_id", "n_links"), "vec_id").agg(
-        F.sum(F.least("true_links", "n_links")), F.sum("true_links")
-    ).first()
-    return 1.0 if not row[1] else row[0] / row[1]
+    row = found.agg(F.sum("met") / F.sum("true"), F.avg(F.col("met") / F.col("true"))).first()
+    return 1.0 if row[0] is None else min(row)

@@ -242,6 +242,18 @@ def test_vectors_of_one_cluster_over_many_shards(spark):
     assert [got[r[0]].component_id for r in rows] == component.tolist()
 
 
+def test_vector_audit_counts_links_of_unequal_vectors(spark):
+    rng = np.random.default_rng(8)
+    hot, pairs = rng.normal(size=16), rng.normal(size=(20, 16))
+    rows = [(i, hot.tolist(), 0) for i in range(80)]
+    rows += [(100 + i, (pairs[i // 2] + 0.01 * (i % 2)).tolist(), i % 4 // 2) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    result = vector_dedup.near_duplicates(table)
+    assert vector_dedup.audit_recall(result, table) == 1.0
+    lost = result.selectExpr("vec_id", "if(vec_id < 80, n_links, 0L) n_links", "0L n_distinct")
+    assert vector_dedup.audit_recall(lost, table) == 0.0
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
