@@ -31,11 +31,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text)`` with null texts read as empty; other columns are dropped."""
+def text_key(text: Column) -> Column:
+    """SHA-256 that stands for a text in joins; a null text counts as the empty one."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """``(doc_id, text)`` with null texts read as empty, and ``text_key`` if ``keyed``; other columns are dropped."""
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
+        *[text_key(docs[text_col]).alias("text_key")] * keyed,
     )
 
 

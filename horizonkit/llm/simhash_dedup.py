@@ -53,18 +53,20 @@ def text_fingerprint(text: str, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 width: int = WIDTH) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint's bits in a signed long."""
+                 width: int = WIDTH, keyed: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` with the fingerprint's bits in a signed long, and ``text_key`` if ``keyed``."""
 
     def compute(batches):
         for batch in batches:
             values = [text_fingerprint(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))],
-                names=["doc_id", "fp"],
+                [batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64)), *batch.columns[2:]],
+                names=["doc_id", "fp", *["text_key"] * keyed],
             )
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(compute, "doc_id long, fp long")
+    return keyed_text(docs, id_col, text_col, keyed).mapInArrow(
+        compute, "doc_id long, fp long" + ", text_key binary" * keyed
+    )
 
 
 def ball_masks(radius: int) -> list[int]:
@@ -97,27 +99,28 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per row of ``docs``.
+                width: int = WIDTH, radius: int = RADIUS, keyed: bool = False) -> DataFrame:
+    """``(doc_id, fp, component_id)`` per row of ``docs``, and ``text_key`` and ``root`` if ``keyed``.
 
     ``component_id`` is the smallest doc_id among the texts reachable by links
     of at most ``radius`` differing bits. Null and empty texts (fingerprint
     zero) are linked like any other; a null doc_id keeps its row and never
     becomes a component id unless the whole component lacks ids; repeated rows
     each keep theirs. Rows of one hot fingerprint are reduced to one
-    (fp, smallest id) row before any link is sought.
+    (fp, smallest id) row before any link is sought. ``root`` tells groups
+    apart, which may share a component id where one id has several texts.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, width), "simhash")
+    prints = materialise(fingerprints(docs, id_col, text_col, width, keyed), "simhash")
     by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected_components(fingerprint_links(by_print.select("fp"), radius))
     linked = roots.join(by_print.withColumnRenamed("fp", "node"), "node")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = linked.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
+    of_print = linked.join(smallest, "root").select(F.col("node").alias("fp"), "component_id", "root")
     of_print = (
         by_print.join(of_print, "fp", "left")
-        .select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+        .select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     )
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id", *["text_key", "root"] * keyed)
 
 
 def hex_fingerprint(column: str = "fp"):

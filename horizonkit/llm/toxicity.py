@@ -175,8 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, keep, max_rows: int = MAX_ROWS,
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id",
-          text_col: str = "text") -> DataFrame:
-    """``(doc_id, score, n_sentences, worst_sentence, worst_score)`` per row.
+          text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """``(doc_id, score, n_sentences, worst_sentence, worst_score)`` per row, and ``text_key`` if ``keyed``.
 
     Null and empty texts have no sentence: their score is 0 and the worst
     sentence null. Repeated rows score alike. ``worst_sentence`` is the
@@ -201,12 +201,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
             total, n, worst, worst_p = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(total, pa.float64()), pa.array(n, pa.int32()),
-                 pa.array(worst, pa.int32()), pa.array(worst_p, pa.float64())],
-                names=["doc_id", "score", "n_sentences", "worst_sentence", "worst_score"],
+                 pa.array(worst, pa.int32()), pa.array(worst_p, pa.float64()), *batch.columns[2:]],
+                names=["doc_id", "score", "n_sentences", "worst_sentence", "worst_score", *["text_key"] * keyed],
             )
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(
+    return keyed_text(docs, id_col, text_col, keyed).mapInArrow(
         compute, "doc_id long, score double, n_sentences int, worst_sentence int, worst_score double"
+                 + ", text_key binary" * keyed
     )
 
 
@@ -227,13 +228,13 @@ def not_held_out(column, folds: int = 4, held: int = 2):
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame,
-             keep: Callable = not_held_out, threshold: float = THRESHOLD) -> DataFrame:
+             keep: Callable = not_held_out, threshold: float = THRESHOLD, keyed: bool = False) -> DataFrame:
     """Train on ``labels`` and score all ``docs``: adds ``held_out`` and ``predicted``."""
-    scored = score(docs, train(docs, labels, keep))
+    scored = score(docs, train(docs, labels, keep), keyed=keyed)
     return scored.select(
         "doc_id",
         (~keep(F.col("doc_id"))).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
-        "n_sentences", "worst_sentence", "worst_score",
+        "n_sentences", "worst_sentence", "worst_score", *["text_key"] * keyed,
     )

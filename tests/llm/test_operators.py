@@ -366,3 +366,23 @@ def test_stages_keep_columns_and_clean_documents(spark, docs, monkeypatch):
     clean = stages.redact_secrets(spark, once, "")
     assert clean.columns == docs.columns and clean.count() == once.count()
     assert stages.pack_sequences(spark, clean, "").select("doc_id").distinct().count() == once.count()
+
+
+def test_stages_decide_by_text(spark, monkeypatch):
+    def text(seed, toxic=False):
+        rng = random.Random(seed)
+        return " ".join([*rng.choices([f"w{k}" for k in range(200)], k=60), *["vilest"] * toxic]) + "."
+
+    rows = [(i, text(i, i % 2 == 0)) for i in range(400)]
+    marked = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(400)], "doc_id long, toxic int")
+    monkeypatch.setattr(stages, "read_table", lambda *_: marked)
+    odd = [(None, text(900)), (None, text(901, True)), (None, text(902)), (5, text(903, True))]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string")
+    calm = {(r.doc_id, r.text) for r in stages.drop_toxic(spark, docs, "").collect()}
+    assert odd[0] in calm and odd[2] in calm and odd[1] not in calm
+    assert rows[5] in calm and odd[3] not in calm
+
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (3, text(4)), (9, text(4)), (None, text(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = Counter((r.doc_id, r.text) for r in stages.drop_near_copies(spark, docs, "").collect())
+    assert once == Counter([(None, text(1)), (None, text(2)), (3, text(3)), (3, text(4))])
