@@ -33,6 +33,17 @@ class Rule:
     least: int = 1
 
 
+# From the BEGIN line to the END line, if that is the next line of five dashes; else over the header
+# lines and the base64 run (words of 16+, a padded last word) that follow. Repeats are bounded, as Java
+# matches them by recursion: 64 hyphens within a key, 240 base64 lines without an END line.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:[ \t\r\n]{0,4}[A-Za-z-]{1,40}: [^\n]*\n){0,8}"
+    r"(?:(?:[ \t\r\n]|\\[nr]){0,4}[A-Za-z0-9+/]{4}[A-Za-z0-9+/]{4}[A-Za-z0-9+/]{4}[A-Za-z0-9+/]{4}[A-Za-z0-9+/]*={0,2}){0,240}"
+    r"(?:(?:[ \t\r\n]|\\[nr]){1,4}[A-Za-z0-9+/]{1,15}={1,2})?)"
+)
+
 # The base kinds in their order, then the added one.
 RULES = (
     Rule(
@@ -42,7 +53,7 @@ RULES = (
     ),
     Rule("access", 1, r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{16}", 0, 20),
     Rule("hex", 1, r"[0-9a-f]{24,}", r"[0-9a-f]{24}"),  # a run is one match, so the bound can be in it
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", r"PRIVATE KEY-----"),
+    Rule("pem", 2, PEM, r"PRIVATE KEY-----"),
 )
 BASE_KINDS = ("assign", "access", "hex")
 SPANS = "array<struct<start:long,end:long>>"
