@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from horizonkit.llm import (
-    bpe_stream, chat_format, fingerprints, license_scan, lm_scoring, oracles, packing, secret_scan, simhash_dedup,
-    toxicity, vector_dedup,
+    bit_plane_clusters, bpe_stream, chat_format, fingerprints, license_scan, lm_scoring, oracles, oracles_clusters,
+    packing, pair_bitmaps, secret_scan, simhash_dedup, token_transducer, toxicity, vector_dedup,
 )
 from horizonkit.llm.common import materialise, read_table
 
@@ -87,6 +87,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_bitmaps.alignment_scores(read_table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_transducer.token_counts(read_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_plane_clusters.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_secret_scans": op2_secret_scans,
@@ -98,6 +110,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_bpe_streaming": op9_bpe_streaming,
     "op10_toxicity": op10_toxicity,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_token_counts": op12_token_counts,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-ORACLES: dict[str, str] = {"op2_secret_scans": oracles.secret_scans()}
+ORACLES: dict[str, str] = {
+    "op2_secret_scans": oracles.secret_scans(),
+    "op13_centroid_clustering": oracles_clusters.centroid_clusters(),
+}
