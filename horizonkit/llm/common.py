@@ -31,6 +31,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused_column(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as no column of ``df`` has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """SHA-256 that stands for a text in joins; a null text counts as the empty one."""
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))

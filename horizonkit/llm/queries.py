@@ -64,12 +64,14 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer is audited; too low a recall is answered by a wider search before it is an error."""
     vectors = read_table(spark, sf_dir, "embeddings")
-    result = materialise(vector_dedup.near_duplicates(vectors), "near-vectors")
-    recall = vector_dedup.audit_recall(result, vectors)
-    if recall < vector_dedup.LEAST_RECALL:
-        raise RuntimeError(f"the graph search found only {recall:.3f} of the audited links")
-    return result.drop("n_distinct")
+    for width in (1, vector_dedup.WIDER):
+        result = materialise(vector_dedup.near_duplicates(vectors, width=width), "near-vectors")
+        recall = vector_dedup.audit_recall(result, vectors)
+        if recall >= vector_dedup.LEAST_RECALL:
+            return result.drop("n_distinct")
+    raise RuntimeError(f"the graph search found only {recall:.3f} of the audited links")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

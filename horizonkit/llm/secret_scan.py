@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from horizonkit.llm.common import fresh_folder, keyed_text
+from horizonkit.llm.common import fresh_folder, keyed_text, unused_column
 
 
 @dataclass(frozen=True)
@@ -186,12 +186,14 @@ def redact(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, .
     """``docs`` with every found span of ``text`` replaced by ``marker``.
 
     Overlapping spans become one marker; ``n_chars`` follows where present.
-    Texts without findings, null texts included, stay as they are.
+    Texts without findings, null texts included, stay as they are; an empty
+    table stays empty. Columns of ``docs`` may have any names.
     """
     spark = docs.sparkSession
     path = ledger_path or fresh_folder(spark, "secret-ledger")
     update_ledger(keyed_text(docs), path, rules)
-    found = findings(spark, path, rules).select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
+    blob, held = unused_column(docs, "blob"), unused_column(docs, "found")
+    found = findings(spark, path, rules).select(F.col("blob").alias(blob), F.col("found").alias(held))
     text = F.col("text")
 
     def step(state: Column, span: Column) -> Column:
@@ -204,14 +206,14 @@ def redact(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, .
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(
-        F.col("_found"), start, step,
+        F.col(held), start, step,
         lambda s: F.concat(s["out"], F.substr(text, s["at"].cast("int") + 1)),
     )
-    joined = docs.withColumn("_blob", blob_of(text)).join(found, "_blob", "left")
-    changed = joined.withColumn("text", F.when(F.col("_found").isNull(), text).otherwise(clean))
+    joined = docs.withColumn(blob, blob_of(text)).join(found, blob, "left")
+    changed = joined.withColumn("text", F.when(F.col(held).isNull(), text).otherwise(clean))
     if "n_chars" in docs.columns:
         changed = changed.withColumn(
-            "n_chars", F.when(F.col("_found").isNull(), F.col("n_chars"))
+            "n_chars", F.when(F.col(held).isNull(), F.col("n_chars"))
             .otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)
         )
     return changed.select(*docs.columns)

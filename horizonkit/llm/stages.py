@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from horizonkit.llm import packing, secret_scan, simhash_dedup, toxicity
-from horizonkit.llm.common import read_table, text_key
+from horizonkit.llm.common import read_table, text_key, unused_column
 
 
 def _same_text(docs: DataFrame, rows: DataFrame):
@@ -41,8 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = groups.groupBy("root").agg(F.min(order).alias("k")).select(
         F.col("k.doc_id").alias("id"), F.col("k.text_key").alias("key")
     )
-    once = docs.join(kept, _same_text(docs, kept), "left_semi").withColumn("_key", text_key(F.col("text")))
-    return once.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    key = unused_column(docs, "text_key")
+    once = docs.join(kept, _same_text(docs, kept), "left_semi").withColumn(key, text_key(F.col("text")))
+    return once.dropDuplicates(["doc_id", key]).drop(key)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

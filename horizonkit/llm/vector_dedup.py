@@ -33,6 +33,10 @@ DEGREE = 24
 CANDIDATES = 96
 ALPHA = 1.2
 BEAM = 32
+#: Edges to members drawn at random that each node keeps besides its pruned ones.
+RANDOM_EDGES = 8
+#: Search again so much wider where the audit finds too few links.
+WIDER = 4
 SLACK = 0.1
 BLOCK = 512
 
@@ -226,8 +230,14 @@ def robust_prune(similar: np.ndarray, between: np.ndarray, degree: int = DEGREE,
     return np.array(kept, np.int64)
 
 
-def build_graph(points: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES) -> list[np.ndarray]:
-    """Robust-pruned neighbour lists within one bounded shard, reverse edges included."""
+def build_graph(points: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES,
+                random_edges: int = RANDOM_EDGES) -> list[np.ndarray]:
+    """Robust-pruned neighbour lists within one bounded shard, reverse edges included.
+
+    The candidates of a vector in a dense cluster are all members of it, so
+    pruned lists alone lead nowhere else; every node also keeps a few edges to
+    members drawn at random (from a generator seeded by the shard's size).
+    """
     n = len(points)
     lists: list[list[int]] = [[] for _ in range(n)]
     wide = min(candidates, n - 1)
@@ -244,24 +254,35 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, candidates: int = CAND
             lists[start + row] += kept.tolist()
             for other in kept:
                 lists[other].append(start + row)
+    drawn = np.random.default_rng(n).integers(0, n, (n, min(random_edges, n - 1)))
+    for node, others in enumerate(drawn.tolist()):
+        for other in others:
+            if other != node:
+                lists[node].append(other)
+                lists[other].append(node)
     return [np.unique(np.array(x, np.int64)) for x in lists]
 
 
+def medoids(points: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
+    """Of each group of positions that is not empty, the member nearest to its mean."""
+    return np.unique([g[(points[g] @ points[g].mean(0)).argmax()] for g in groups if len(g)]).astype(np.int64)
+
+
 def range_search(points: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, threshold: float = THRESHOLD,
-                 beam: int = BEAM, slack: float = SLACK) -> list[np.ndarray]:
+                 beam: int = BEAM, slack: float = SLACK, starts: np.ndarray | None = None) -> list[np.ndarray]:
     """For each query position the others of at least ``threshold`` that the search meets.
 
-    Greedy search walks from the medoid with a beam until the beam is expanded;
-    then everything met within the widened range expands, ring by ring, until
-    no new member turns up.
+    Greedy search walks from ``starts`` (the medoid unless given) with a beam
+    until the beam is expanded; then everything met within the widened range
+    expands, ring by ring, until no new member turns up.
     """
     n = len(points)
-    medoid = int((points @ points.mean(0)).argmax())
+    starts = medoids(points, [np.arange(n)]) if starts is None else starts
     hits = []
     for query in queries.tolist():
         own = points[query]
-        cosine, met, expanded = np.full(n, -2.0), np.array([medoid]), np.zeros(n, bool)
-        cosine[medoid] = points[medoid] @ own
+        cosine, met, expanded = np.full(n, -2.0), starts, np.zeros(n, bool)
+        cosine[starts] = points[starts] @ own
 
         def expand(ring: np.ndarray) -> np.ndarray:
             expanded[ring] = True
@@ -284,7 +305,7 @@ def range_search(points: np.ndarray, graph: list[np.ndarray], queries: np.ndarra
     return hits
 
 
-def shard_links(rows: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
+def shard_links(rows: pd.DataFrame, threshold: float = THRESHOLD, beam: int = BEAM) -> pd.DataFrame:
     """Links among one shard's primary vectors, as ``kind, a, b, n, m`` rows.
 
     ``count``: ``n`` linked rows and ``m`` linked distinct vectors of ``a``;
@@ -300,8 +321,10 @@ def shard_links(rows: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFram
         at[at == len(reps)] = 0
         graph.append(at[reps[at] == ids] if len(ids) else at)
     asked = np.flatnonzero(primary)
+    # the shard's own medoid, that of the vectors it shares with others, and that of both
+    starts = medoids(points, [np.arange(len(points)), asked, np.flatnonzero(~primary)])
     links: set[tuple[int, int]] = set()
-    for query, found in zip(asked.tolist(), range_search(points, graph, asked, threshold)):
+    for query, found in zip(asked.tolist(), range_search(points, graph, asked, threshold, beam, starts=starts)):
         links.update((min(query, p), max(query, p)) for p in found[primary[found]].tolist())
     count, distinct = np.zeros(len(reps), np.int64), np.zeros(len(reps), np.int64)
     parent = list(range(len(reps)))
@@ -327,14 +350,14 @@ LINKS = "kind string, a long, b long, n long, m long"
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_size: int = SHARD_SIZE,
-                    overlap: int = OVERLAP) -> DataFrame:
+                    overlap: int = OVERLAP, width: int = 1) -> DataFrame:
     """``(vec_id, n_links, n_distinct, component_id, kept)`` per row of ``vectors(vec_id, embedding, label)``.
 
     ``n_links`` counts linked rows, ``n_distinct`` linked vectors other than the row's own.
     Vectors that cannot link (see ``unit_vectors``) have no
     links and are their own component. Equal vectors are one node with a
     count, so a hot vector costs one row; repeated rows are copies too. An
-    empty table gives no rows.
+    empty table gives no rows. ``width`` multiplies the beam and the random edges.
     """
     rows = unit_vectors(vectors)
     distinct = materialise(
@@ -349,13 +372,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_size
     def link_lists(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("rep")
         reps = shard["rep"].to_numpy()
-        lists = build_graph(np.stack(shard["v"].to_numpy()))
+        lists = build_graph(np.stack(shard["v"].to_numpy()), random_edges=width * RANDOM_EDGES)
         return pd.DataFrame({"label": shard["label"].iloc[0], "rep": reps, "near": [reps[x] for x in lists]})
 
     lists = placed.groupBy("label", "centre").applyInPandas(link_lists, "label string, rep long, near array<long>")
     united = lists.groupBy("label", "rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     joined = placed.join(united, ["label", "rep"])
-    within = joined.groupBy("label", "centre").applyInPandas(lambda shard: shard_links(shard, threshold), LINKS)
+    within = joined.groupBy("label", "centre").applyInPandas(lambda shard: shard_links(shard, threshold, width * BEAM), LINKS)
     border = border_shards(placed, sizes, centres, threshold).withColumn("other", F.explode("across")).select(
         "label", F.least("centre", "other").alias("low"), F.greatest("centre", "other").alias("high"),
         "centre", "rep", "copies", "v",
@@ -373,7 +396,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_size
         .select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "n_distinct",
                 F.coalesce("root", "rep").alias("component_id"))
     )
-    linked = rows.select("vec_id", "key").join(nodes, "key", "left")
+    # rows without a key meet nothing, so they stay out of the join
+    keyed, alone = rows.where("key is not null").select("vec_id", "key"), rows.where("key is null").select("vec_id")
+    linked = keyed.join(nodes, "key", "left").select("vec_id", "n_links", "n_distinct", "component_id").unionByName(
+        alone, allowMissingColumns=True
+    )
     component = F.coalesce("component_id", "vec_id")
     return linked.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

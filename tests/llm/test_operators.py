@@ -420,3 +420,31 @@ def test_stages_decide_by_text(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     once = Counter((r.doc_id, r.text) for r in stages.drop_near_copies(spark, docs, "").collect())
     assert once == Counter([(None, text(1)), (None, text(2)), (3, text(3)), (3, text(4))])
+
+
+@pytest.mark.parametrize("share", [0.3, 0.5])
+def test_graph_search_beside_a_dense_cluster(share):
+    rng = np.random.default_rng(7)
+    centre, size, near = rng.normal(size=64), 1500, 0.02
+    cluster = centre / np.linalg.norm(centre) + rng.normal(size=(int(size * share), 64)) * near
+    loose = rng.normal(size=((size - len(cluster)) // 2, 64))
+    loose /= np.linalg.norm(loose, axis=1, keepdims=True)
+    points = np.concatenate((cluster, loose, loose + rng.normal(size=loose.shape) * near))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    found = vector_dedup.range_search(points, vector_dedup.build_graph(points), np.arange(len(points)))
+    true = points @ points.T >= vector_dedup.THRESHOLD
+    np.fill_diagonal(true, False)
+    apart = range(len(cluster), len(points))
+    assert sum(len(found[i]) for i in apart) >= 0.99 * true[len(cluster):].sum()
+
+
+def test_stages_keep_clashing_columns_and_empty_tables(spark):
+    names = ["doc_id", "text", "blob", "found", "text_key", "_blob", "_found", "_key"]
+    rows = [(1, "token = abcdef123456 here it is", *"abcdef"), (2, "a plain text of some words", *"ghijkl")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names[2:]))
+    for stage in (stages.redact_secrets, stages.drop_near_copies):
+        got = stage(spark, table, "")
+        assert got.columns == names
+        assert {r[0]: tuple(r)[2:] for r in got.collect()} == {r[0]: r[2:] for r in rows}
+        assert stage(spark, table.where("false"), "").collect() == []
+    assert stages.pack_sequences(spark, table.where("false"), "").collect() == []
