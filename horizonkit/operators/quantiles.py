@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Salts over which a group's values are spread when they meet its bounds.
 SALTS = 32
+#: Distinct values of a group that one bucket is meant to hold, until there are ``n_buckets``.
+VALUES_PER_BUCKET = 512
 #: Accuracy of the bound sketch: a bound's rank is off by at most n / ACCURACY.
 ACCURACY = 10_000
 
@@ -31,9 +33,14 @@ def with_buckets(df: DataFrame, group_cols: Sequence[str], value_col: str, n_buc
     """Adds ``_bucket``: the number of the group's bounds before the value."""
     g = list(group_cols)
     probs = [i / n_buckets for i in range(1, n_buckets)]
+    # a group has as many buckets as its distinct values fill, at most n_buckets
+    wanted = F.least(F.lit(n_buckets), F.ceil(F.col("_n") / VALUES_PER_BUCKET))
+    whole = lambda i: F.floor(i * wanted / n_buckets)
     bounds = df.groupBy(*g).agg(
-        F.array_distinct(F.percentile_approx(value_col, probs, ACCURACY)).alias("_bounds")
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        F.percentile_approx(value_col, probs, ACCURACY).alias("_all"), F.count(F.lit(1)).alias("_n")
+    ).select(
+        *g, F.array_distinct(F.filter("_all", lambda _, i: whole(i + 1) > whole(i))).alias("_bounds"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(value_col), F.lit(SALTS)).cast("int"))
     v = F.col(value_col)
     before = F.filter("_bounds", lambda b: (b > v) if descending else (b < v))
