@@ -429,8 +429,8 @@ def _snk3() -> str:
         "CAST(CAST(o_totalprice AS DECIMAL(20,8)) AS VARCHAR)", "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')",
         "o_orderpriority",
     ]
-    text = ", ".join(f"coalesce({f}, '\\N')" for f in fields)
-    return f"""WITH o AS (SELECT md5(concat_ws('|', {text})) AS h FROM orders)
+    text = " || ".join(f"coalesce(CAST(length({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields)
+    return f"""WITH o AS (SELECT md5({text}) AS h FROM orders)
 SELECT CAST(count(*) AS BIGINT) AS rows,
        CAST(bit_xor(('0x' || substr(h, 1, 15))::BIGINT) AS VARCHAR) AS xor_lane,
        CAST(sum(CAST(('0x' || substr(h, 25, 8))::BIGINT AS DECIMAL(38,0))) AS VARCHAR) AS sum_lane
