@@ -133,31 +133,86 @@ def rank_metrics(counts: DataFrame, group_cols: Sequence[str], score: str) -> Da
     )
 
 
+#: Newton steps of a calibration fit; a group still moving by more than the tolerance then has no result.
+CALIBRATION_STEPS = 12
+CALIBRATION_TOLERANCE = 1e-6
+#: Inverse penalty of the slope (nearly none), and the clip of probabilities before their logit.
+CALIBRATION_C, CALIBRATION_CLIP = 1e6, 1e-6
+
+
+def calibration_from_counts(counts: DataFrame, group_cols: Sequence[str], score: str,
+                            steps: int = CALIBRATION_STEPS) -> DataFrame:
+    """AGG11: intercept and slope of label ~ logit(clipped score) per group, from a (group, score, pos, neg) table.
+
+    A fixed number of Newton steps from zero, unrolled in one lazy plan: a step
+    joins the groups' parameters to their score rows and sums gradient and
+    Hessian by group, with partial sums before the exchange. The slope has an L2
+    penalty of 1 / C. Null for a group with one class, with one logit, or whose
+    fit has not come to rest (classes that a threshold separates, for one).
+    """
+    g = list(group_cols)
+    p = F.least(F.greatest(F.col(score).cast("double"), F.lit(CALIBRATION_CLIP)), F.lit(1 - CALIBRATION_CLIP))
+    data = counts.select(*g, F.log(p / (1 - p)).alias("_x"), "pos", (F.col("pos") + F.col("neg")).alias("_w"))
+    fit = data.groupBy(*g).agg(
+        (F.sum("pos") > 0).alias("_has1"), (F.sum("pos") < F.sum("_w")).alias("_has0"),
+        (F.min("_x") < F.max("_x")).alias("_varies"),
+    ).select(*g, (F.col("_has1") & F.col("_has0") & F.col("_varies")).alias("_fits"), F.lit(0.0).alias("_a"),
+             F.lit(0.0).alias("_b"), F.lit(0.0).alias("_step"))
+    x, a, b = F.col("_x"), F.col("_a"), F.col("_b")
+    for _ in range(steps):
+        s = 1 / (1 + F.exp(-(a + b * x)))
+        r, h = F.col("_w") * s - F.col("pos"), F.col("_w") * s * (1 - s)
+        sums = data.join(fit, g).groupBy(*g).agg(
+            *[F.first(c).alias(c) for c in ("_fits", "_a", "_b")], F.sum(r).alias("_g0"), F.sum(r * x).alias("_g1"),
+            F.sum(h).alias("_h0"), F.sum(h * x).alias("_h1"), F.sum(h * x * x).alias("_h2"))
+        g1, h2 = F.col("_g1") + b / CALIBRATION_C, F.col("_h2") + 1 / CALIBRATION_C
+        det = F.col("_h0") * h2 - F.col("_h1") * F.col("_h1")
+        da = (h2 * F.col("_g0") - F.col("_h1") * g1) / det
+        db = (F.col("_h0") * g1 - F.col("_h1") * F.col("_g0")) / det
+        open_ = F.col("_fits") & (det > 0)
+        fit = sums.select(*g, open_.alias("_fits"), F.when(open_, a - da).alias("_a"), F.when(open_, b - db).alias("_b"),
+                          F.when(open_, F.greatest(F.abs(da), F.abs(db))).alias("_step"))
+    rests = F.col("_fits") & (F.col("_step") < CALIBRATION_TOLERANCE)
+    return fit.select(*g, F.when(rests, a).alias("calibration_intercept"), F.when(rests, b).alias("calibration_slope"))
+
+
 def classification_metrics(
     df: DataFrame,
     group_cols: Sequence[str],
     y_true: str = "y_true",
     probability: str = "y_probability",
     prediction: str = "y_pred",
+    calibration: bool = True,
 ) -> DataFrame:
-    """AGG10: AUROC, AUPRC, Brier, precision, recall, F1 per group.
+    """AGG10: AUROC, AUPRC, Brier, calibration intercept and slope, precision, recall, F1 per group.
 
-    AUROC / AUPRC are null when a group has one class; precision, recall and
-    F1 are 0 on an empty denominator. Labels outside {0,1} or probabilities
-    outside [0,1] raise when the aggregate runs.
+    AUROC / AUPRC and calibration are null when a group has one class;
+    precision, recall and F1 are 0 on an empty denominator. Labels outside {0,1}
+    or probabilities outside [0,1] raise when the aggregate runs. The rows are
+    reduced once to (group, score) counts, which serve every metric.
     """
     y, p, yh = F.col(y_true), F.col(probability), F.col(prediction)
-    simple = df.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(~y.isin(0, 1) | ~_finite(p) | (p < 0) | (p > 1) | ~yh.isin(0, 1)).alias("_bad"),
-        F.avg((p - y) * (p - y)).alias("brier_score"),
+    bad = ~y.isin(0, 1) | ~_finite(p) | (p < 0) | (p > 1) | ~yh.isin(0, 1)
+    counts = df.groupBy(*group_cols, probability).agg(
+        F.count_if(y == 1).cast("double").alias("pos"),
+        F.count_if((y != 1) | y.isNull()).cast("double").alias("neg"),
+        F.count_if(F.coalesce(bad, F.lit(True))).alias("_bad"),
         F.count_if((y == 1) & (yh == 1)).alias("_tp"),
         F.count_if((y == 0) & (yh == 1)).alias("_fp"),
         F.count_if((y == 1) & (yh == 0)).alias("_fn"),
     )
-    ranks = rank_metrics(score_counts(df, group_cols, y_true, probability), group_cols, probability)
+    off = F.col(probability)
+    simple = counts.groupBy(*group_cols).agg(
+        F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("_bad").alias("_bad"),
+        (F.sum(F.col("pos") * (1 - off) * (1 - off) + F.col("neg") * off * off) / F.sum(F.col("pos") + F.col("neg")))
+        .alias("brier_score"),
+        *[F.sum(c).alias(c) for c in ("_tp", "_fp", "_fn")],
+    )
+    scored = counts.select(*group_cols, probability, "pos", "neg")
     tp, fp, fn = F.col("_tp"), F.col("_fp"), F.col("_fn")
-    out = simple.join(ranks, list(group_cols), "inner")
+    out = simple.join(rank_metrics(scored, group_cols, probability), list(group_cols), "inner")
+    if calibration:
+        out = out.join(calibration_from_counts(scored, group_cols, probability), list(group_cols), "left")
     return out.select(
         *group_cols,
         F.when(F.col("_bad") > 0, F.raise_error(F.lit("Classification inputs are invalid.")))
@@ -165,6 +220,7 @@ def classification_metrics(
         "auroc",
         "auprc",
         "brier_score",
+        *(["calibration_intercept", "calibration_slope"] if calibration else []),
         F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0).alias("precision"),
         F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0).alias("recall"),
         F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0).alias("f1_score"),

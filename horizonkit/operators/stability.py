@@ -99,13 +99,10 @@ def feature_stability(records: DataFrame, group_cols: Sequence[str] = ("configur
     sign consistency = max(positive, negative) / included (null if none);
     rank SD is the population SD; rank stability = max(0, 1 - SD / max(1,
     largest rank of the configuration)). The per-configuration totals are a
-    small aggregate joined back (one row per configuration).
+    window over the configuration's features, whose rows and fit lists are
+    bounded by the settings, so the records are read once and nothing is joined.
     """
     g = list(group_cols)
-    totals = records.groupBy(*g).agg(
-        F.count_distinct("fit_id").alias("_fits"),
-        F.greatest(F.max("rank").cast("double"), F.lit(1.0)).alias("_max_rank"),
-    )
     inc = F.col("importance") > 0
     per = records.groupBy(*g, "feature").agg(
         F.avg("normalized_importance").alias("mean_importance"),
@@ -114,16 +111,21 @@ def feature_stability(records: DataFrame, group_cols: Sequence[str] = ("configur
         F.count_if(inc & (F.col("signed_value") < 0)).alias("_neg"),
         F.avg("rank").alias("mean_rank"),
         F.stddev_pop("rank").alias("rank_standard_deviation"),
-        F.count_distinct("fit_id").cast("bigint").alias("n_fits"),
-    )
-    out = per.join(totals, g, "inner")
+        F.max("rank").cast("double").alias("_rank"),
+        F.collect_set("fit_id").alias("_ids"),
+    )
+    whole = Window.partitionBy(*g)
+    out = per.withColumns({
+        "_fits": F.size(F.array_distinct(F.flatten(F.collect_list("_ids").over(whole)))),
+        "_max_rank": F.greatest(F.max("_rank").over(whole), F.lit(1.0)),
+    })
     return out.select(
         *g, "feature", "mean_importance",
         (F.col("_inc") / F.col("_fits")).alias("inclusion_frequency"),
         F.when(F.col("_inc") > 0, F.greatest("_pos", "_neg") / F.col("_inc")).alias("sign_consistency"),
         "mean_rank", "rank_standard_deviation",
         F.greatest(F.lit(0.0), 1 - F.col("rank_standard_deviation") / F.col("_max_rank")).alias("rank_stability"),
-        "n_fits",
+        F.size("_ids").cast("bigint").alias("n_fits"),
     )
 
 

@@ -577,9 +577,44 @@ SELECT group_id, CAST(count(*) AS BIGINT) AS n, avg(abs({r})) AS mae, sqrt(avg({
 FROM pred GROUP BY group_id"""
 
 
+#: Newton steps of a calibration fit, and the largest last step of one at rest.
+CALIBRATION_STEPS, CALIBRATION_REST = 12, 1e-6
+
+
+def calibration_cte(counts: str, keys: str, score: str) -> str:
+    """CTEs up to ``cal(keys, calibration_intercept, calibration_slope)`` over ``counts(keys, score, pos, neg)``."""
+    clipped = f"least(greatest(CAST({score} AS DOUBLE), 1e-6), 1 - 1e-6)"
+    parts = [f"""cx AS MATERIALIZED (SELECT {keys}, ln({clipped} / (1 - {clipped})) AS x, pos, pos + neg AS w FROM {counts}),
+n0 AS (SELECT {keys}, sum(pos) > 0 AND sum(pos) < sum(w) AND min(x) < max(x) AS fits,
+              CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS step FROM cx GROUP BY {keys})"""]
+    s = "(1 / (1 + exp(-(a + b * x))))"
+    for k in range(CALIBRATION_STEPS):
+        parts.append(f"""s{k} AS (SELECT {keys}, any_value(fits) AS fits, any_value(a) AS a, any_value(b) AS b,
+  sum(w * {s} - pos) AS g0, sum((w * {s} - pos) * x) + any_value(b) / 1e6 AS g1, sum(w * {s} * (1 - {s})) AS h0,
+  sum(w * {s} * (1 - {s}) * x) AS h1, sum(w * {s} * (1 - {s}) * x * x) + 1 / 1e6 AS h2
+  FROM cx JOIN n{k} USING ({keys}) GROUP BY {keys}),
+d{k} AS (SELECT *, fits AND h0 * h2 - h1 * h1 > 0 AS f, (h2 * g0 - h1 * g1) / nullif(h0 * h2 - h1 * h1, 0) AS da,
+                (h0 * g1 - h1 * g0) / nullif(h0 * h2 - h1 * h1, 0) AS db FROM s{k}),
+n{k + 1} AS MATERIALIZED (SELECT {keys}, f AS fits, CASE WHEN f THEN a - da END AS a, CASE WHEN f THEN b - db END AS b,
+                CASE WHEN f THEN greatest(abs(da), abs(db)) END AS step FROM d{k})""")
+    parts.append(f"""cal AS (SELECT {keys}, CASE WHEN fits AND step < {CALIBRATION_REST} THEN a END AS calibration_intercept,
+  CASE WHEN fits AND step < {CALIBRATION_REST} THEN b END AS calibration_slope FROM n{CALIBRATION_STEPS})""")
+    return ",\n".join(parts)
+
+
+CLASS_COUNTS = """cc AS (SELECT group_id, y_probability, CAST(count(*) FILTER (WHERE y_true = 1) AS DOUBLE) AS pos,
+              CAST(count(*) FILTER (WHERE y_true <> 1) AS DOUBLE) AS neg FROM pred GROUP BY ALL)"""
+
+
+@oracle("agg11_calibration")
+def _agg11() -> str:
+    return f"WITH {PRED}, {CLASS_COUNTS}, {calibration_cte('cc', 'group_id', 'y_probability')}\nSELECT * FROM cal"
+
+
 @oracle("agg10_classification_metrics")
 def _agg10() -> str:
-    return f"""WITH {PRED}, {cum_sql('pred', 'group_id', 'y_probability')},
+    return f"""WITH {PRED}, {cum_sql('pred', 'group_id', 'y_probability')}, {CLASS_COUNTS},
+{calibration_cte('cc', 'group_id', 'y_probability')},
 rk AS (SELECT group_id,
               CASE WHEN max(n_pos) > 0 AND max(n_neg) > 0
                    THEN sum(pos * ((n_neg - fp) + 0.5 * neg)) / (max(n_pos) * max(n_neg)) END AS auroc,
@@ -592,11 +627,11 @@ si AS (SELECT group_id, count(*) AS n,
               count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS fp,
               count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS fn
        FROM pred GROUP BY group_id)
-SELECT si.group_id, CAST(n AS BIGINT) AS n, auroc, auprc, brier_score,
+SELECT si.group_id, CAST(n AS BIGINT) AS n, auroc, auprc, brier_score, calibration_intercept, calibration_slope,
        CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
        CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
        CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1_score
-FROM si JOIN rk USING (group_id)"""
+FROM si JOIN rk USING (group_id) LEFT JOIN cal USING (group_id)"""
 
 
 @oracle("win5_roc_points")

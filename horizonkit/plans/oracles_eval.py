@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from horizonkit.plans.oracles import md5_draw, oracle
+from horizonkit.plans.oracles import calibration_cte, md5_draw, oracle
 
 N_RESAMPLES, LEVEL, SEED = 50, 0.95, 42
 ALPHA = (1 - LEVEL) / 2
@@ -106,9 +106,12 @@ rk AS (SELECT configuration_id, b,
               CASE WHEN max(n_pos) > 0 AND max(n_neg) > 0
                    THEN sum(pos * ctp / (ctp + cfp)) / max(n_pos) END AS auprc
        FROM cum GROUP BY ALL),
-m AS (SELECT si.configuration_id, si.b, auroc, auprc, sq / n AS brier_score,
+kc AS (SELECT configuration_id AS cfg, b AS rb, s, pos, neg FROM sc),
+{calibration_cte('kc', 'cfg, rb', 's')},
+m AS (SELECT si.configuration_id, si.b, auroc, auprc, sq / n AS brier_score, calibration_intercept, calibration_slope,
              CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
              CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
              CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1_score
-      FROM si JOIN rk ON si.configuration_id = rk.configuration_id AND si.b = rk.b),
-{_intervals_sql(['auroc', 'auprc', 'brier_score', 'precision', 'recall', 'f1_score'])}"""
+      FROM si JOIN rk ON si.configuration_id = rk.configuration_id AND si.b = rk.b
+      LEFT JOIN cal ON cal.cfg = si.configuration_id AND cal.rb = si.b),
+{_intervals_sql(['auroc', 'auprc', 'brier_score', 'calibration_intercept', 'calibration_slope', 'precision', 'recall', 'f1_score'])}"""

@@ -18,7 +18,7 @@ def _pairs() -> str:
 ev AS (SELECT PATNO, EVENT_ID, VISIT_DATE, SCORE, ROW_ID FROM es WHERE valid AND st = 'OFF'),
 {paired},
 kept AS (SELECT DISTINCT PATNO FROM cw),
-o(outcome_type, metrics) AS (VALUES ('continuous', 5), ('binary', 6))"""
+o(outcome_type, metrics) AS (VALUES ('continuous', 5), ('binary', 8))"""
 
 
 @oracle("val20_run_artifacts")
