@@ -9,7 +9,7 @@ from horizonkit.operators import bootstrap as B
 from horizonkit.plans.catalog import register
 from horizonkit.sources.tables import CONTINUOUS_PRICE_FACTOR, read_table
 
-N_RESAMPLES, LEVEL, SEED = 50, 0.95, 42
+N_RESAMPLES, POISSON_RESAMPLES, LEVEL, SEED = 50, 1000, 0.95, 42
 
 
 def bootstrap_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def agg12_bootstrap_classification(spark: SparkSession, sf_dir: str) -> DataFram
 
 @register("agg12_bootstrap_poisson")
 def agg12_bootstrap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scale variant (Poisson weights); rows-only check, no SQL twin."""
+    """Scale variant: Poisson weights drawn where the rows lie, so only (configuration, resample) sums move."""
     return B.bootstrap_regression(
         bootstrap_input(spark, sf_dir), ["configuration_id"], "patient_id", "y_value", "y_estimate",
-        N_RESAMPLES, LEVEL, SEED, method="poisson",
+        POISSON_RESAMPLES, LEVEL, SEED, method="poisson",
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from horizonkit.plans.oracles import calibration_cte, md5_draw, oracle
 
 N_RESAMPLES, LEVEL, SEED = 50, 0.95, 42
@@ -49,17 +51,36 @@ def _agg12r() -> str:
     return boot_regression_sql(f"WITH {BOOT_INPUT}")
 
 
-def boot_regression_sql(head: str) -> str:
+@oracle("agg12_bootstrap_poisson")
+def _agg12p() -> str:
+    return boot_regression_sql(f"WITH {BOOT_INPUT}", _poisson_sql("st"))
+
+
+def _poisson_sql(stats: str, resamples: int = 1000) -> str:
+    """CTE wt (group, b, subject, w): Poisson(1) weights by the inverse distribution function of a 32-bit draw."""
+    u = f"(({md5_draw(f'{SEED} || chr(58) || t.b', 'patient_id')} + 0.5) / 4294967296.0)"
+    steps, total, term = [], 0.0, math.exp(-1.0)
+    for k in range(12):
+        total += term
+        steps.append(f"WHEN u <= {total!r} THEN {k}")
+        term /= k + 1
+    return f"""du AS (SELECT configuration_id, t.b, patient_id, {u} AS u FROM {stats}, generate_series(1, {resamples}) AS t(b)),
+wt AS (SELECT * FROM (SELECT configuration_id, b, patient_id, CASE {' '.join(steps)} ELSE 12 END AS w FROM du) q WHERE w > 0
+       UNION ALL SELECT configuration_id, 0, patient_id, 1 FROM {stats})"""
+
+
+def boot_regression_sql(head: str, weights: str | None = None) -> str:
     """Bootstrap SQL over ``bi(configuration_id, patient_id, y_value, y_estimate)``.
 
-    ``head`` is the WITH prefix that defines ``bi`` (and anything it needs).
+    ``head`` is the WITH prefix that defines ``bi`` (and anything it needs);
+    ``weights`` defines ``wt`` over the subject sums ``st``.
     """
     r = "(y_value - y_estimate)"
     return f"""{head},
 st AS (SELECT configuration_id, patient_id, CAST(count(*) AS DOUBLE) AS n, sum(abs({r})) AS abs_r,
               sum({r} * {r}) AS r2s, sum({r}) AS rs, sum(y_value) AS ys, sum(y_value * y_value) AS y2s
        FROM bi GROUP BY ALL),
-{_weights_sql('st')},
+{weights or _weights_sql('st')},
 pb AS (SELECT wt.configuration_id, wt.b, sum(w * st.n) AS N, sum(w * abs_r) AS A, sum(w * r2s) AS S,
               sum(w * rs) AS R, sum(w * ys) AS Y, sum(w * y2s) AS Y2
        FROM wt JOIN st ON wt.configuration_id = st.configuration_id AND wt.patient_id = st.patient_id
