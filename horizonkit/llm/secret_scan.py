@@ -33,16 +33,16 @@ class Rule:
     least: int = 1
 
 
-# From the BEGIN line to the END line, if that is the next line of five dashes; else over the header
-# lines and the base64 run (words of 16+, a padded last word) that follow. Repeats are bounded, as Java
-# matches them by recursion: 64 hyphens within a key, 240 base64 lines without an END line.
-PEM = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-    r"(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]{0,40}PRIVATE KEY-----"
-    r"|(?:[ \t\r\n]{0,4}[A-Za-z-]{1,40}: [^\n]*\n){0,8}"
-    r"(?:(?:[ \t\r\n]|\\[nr]){0,4}[A-Za-z0-9+/]{4}[A-Za-z0-9+/]{4}[A-Za-z0-9+/]{4}[A-Za-z0-9+/]{4}[A-Za-z0-9+/]*={0,2}){0,240}"
-    r"(?:(?:[ \t\r\n]|\\[nr]){1,4}[A-Za-z0-9+/]{1,15}={1,2})?)"
+# Private keys: the lines that begin and end one, and what a line of a key without an END line looks like:
+# quote marks or list dashes, then a header, base64 letters (16 or more, or padded), or nothing.
+PEM_BEGIN = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+PEM_END = r"-----END [A-Z ]{0,40}PRIVATE KEY-----"
+PEM_LINE = (
+    r"^[ \t\r>|*#.\x22'-]{0,16}(?:(?:Proc-Type|DEK-Info|Comment|Version): .*"
+    r"|[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]{1,15}={1,2}|)[ \t\r\x22',]*$"
 )
+#: Base64 letters at the start of a line that goes on with other text.
+PEM_LAST = r"^([ \t\r>|*#.\x22'-]{0,16}(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]{1,15}={1,2}))(?:[^A-Za-z0-9+/=]|$)"
 
 # The base kinds in their order, then the added one.
 RULES = (
@@ -53,19 +53,60 @@ RULES = (
     ),
     Rule("access", 1, r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{16}", 0, 20),
     Rule("hex", 1, r"[0-9a-f]{24,}", r"[0-9a-f]{24}"),  # a run is one match, so the bound can be in it
-    Rule("pem", 2, PEM, r"PRIVATE KEY-----"),
+    Rule("pem", 3, PEM_BEGIN, r"PRIVATE KEY-----"),  # its spans reach over the key: see key_spans
 )
 BASE_KINDS = ("assign", "access", "hex")
 SPANS = "array<struct<start:long,end:long>>"
 LEDGER = f"blob string, rule string, version int, spans {SPANS}"
 
 
+def key_body(after: Column) -> Column:
+    """How many characters behind a BEGIN line belong to its key; ``after`` reaches to the next BEGIN line.
+
+    All up to the END line where there is one. Else the lines that follow for as
+    long as they look like a key's, up to the last one that is not blank; a
+    written-out ``\\n`` or ``\\r`` ends a line too. No bound on lines or lengths.
+    """
+    closed = F.char_length(F.element_at(F.split(after, PEM_END, 2), 1)) + F.char_length(F.regexp_extract(after, PEM_END, 0))
+    lines = F.split(F.regexp_replace(after, r"\\[nr]", " \n"), "\n", -1)
+    other = F.array_position(F.transform(lines, lambda line: line.rlike(PEM_LINE)), False).cast("int")
+    own = F.slice(lines, 1, F.when(other == 0, F.size(lines)).otherwise(other - 1))
+    last = F.coalesce(F.array_max(F.transform(own, lambda line, i: F.when(line.rlike("[A-Za-z0-9+/=]"), i + 1))), F.lit(0))
+    length = F.aggregate(F.slice(own, 1, last), F.lit(0), lambda n, line: n + F.char_length(line) + 1)
+    # the line that ends the run may begin with the key's last letters
+    rest = F.char_length(F.regexp_extract(F.get(lines, last), PEM_LAST, 1))
+    rest = F.when((other > 0) & (last == F.size(own)), rest).otherwise(0)
+    covered = F.when(rest > 0, length + rest).otherwise(F.greatest(length - 1, F.lit(0)))
+    return F.when(after.rlike(PEM_END), closed).otherwise(covered)
+
+
+def key_spans(text: Column) -> Column:
+    """Spans of private keys with their bodies. The text is split at BEGIN lines, so each key is looked at once."""
+    begins = F.regexp_extract_all(text, F.lit(PEM_BEGIN), F.lit(0))
+    parts = F.split(text, PEM_BEGIN, -1)
+    keys = F.arrays_zip(
+        F.slice(parts, F.lit(1), F.size(begins)).alias("gap"), begins.alias("begin"),
+        F.slice(parts, F.lit(2), F.size(begins)).alias("after"),
+    )
+
+    def step(state: Column, key: Column) -> Column:
+        start = state["at"] + F.char_length(key["gap"])
+        behind = start + F.char_length(key["begin"])
+        span = F.struct(start.alias("start"), (behind + key_body(key["after"])).alias("end"))
+        return F.struct(behind.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
+    return F.aggregate(keys, start, step, lambda s: s["spans"])
+
+
 def match_spans(text: Column, rule: Rule) -> Column:
     """Spans of the rule's kept matches: code points from 0, end exclusive.
 
     The text between matches and the matches alternate, so running lengths
     give the positions.
     """
+    if rule.pattern == PEM_BEGIN:
+        return F.when(text.rlike(rule.guard), key_spans(text)).otherwise(F.array().cast(SPANS))
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     measured = F.regexp_extract_all(text, pattern, F.lit(rule.measured)) if rule.measured else matches

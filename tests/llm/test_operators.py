@@ -103,10 +103,26 @@ def test_private_keys_go_with_their_bodies(spark):
         (f"x {head} is how keys start, well-known. {head}\n{body}\n{tail} z", "x [SECRET] is how keys start, well-known. [SECRET] z"),
         (f"x {head} " + "so-so " * 20000, "x [SECRET] " + "so-so " * 20000),
         (f"x {head}\n" + f"{lines[0]}\n" * 200 + "z", "x [SECRET]\nz"),
+        # list and diff marks, quotes, long bodies, with and without an END line
+        (f"x {head}\n- " + "\n- ".join(lines * 2) + f"\n- {tail} z", "x [SECRET] z"),
+        (f"x {head}\n-" + "\n-".join(lines * 2) + f"\n-{tail} z", "x [SECRET] z"),
+        (f"x {head}\n> {quoted}\n> the end", "x [SECRET]\n> the end"),
+        (f"x {head}\n" + f"{lines[0]}\n" * 5000 + "z", "x [SECRET]\nz"),
+        (f"{head}\n{lines[0]}\n{head}\n{body}\n{tail}", "[SECRET]\n[SECRET]"),
+        (f"{head}", "[SECRET]"),
+        (f"{tail} {head}\n\n\nplain", f"{tail} [SECRET]\n\n\nplain"),
     ]
     table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secret_scan.redact(table).collect()}
     assert [got[i] for i in range(len(cases))] == [clean for _, clean in cases]
+    duckdb = pytest.importorskip("duckdb")
+    from horizonkit.llm import oracles
+
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [(i, t) for i, (t, _) in enumerate(cases)])
+    spans = {r.doc_id: r.s for r in secret_scan.scan(table).select("doc_id", secret_scan.span_text("found").alias("s")).collect()}
+    assert {r[0]: r[-1] for r in con.sql(f"select doc_id, spans from ({oracles.secret_scans()}) q").fetchall()} == spans
 
 
 def test_lm_base_scores(docs, no_docs, monkeypatch):
