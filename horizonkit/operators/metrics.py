@@ -134,7 +134,7 @@ def rank_metrics(counts: DataFrame, group_cols: Sequence[str], score: str) -> Da
 
 
 #: Newton steps of a calibration fit; a group still moving by more than the tolerance then has no result.
-CALIBRATION_STEPS = 12
+CALIBRATION_STEPS = 24
 CALIBRATION_TOLERANCE = 1e-6
 #: Inverse penalty of the slope (nearly none), and the clip of probabilities before their logit.
 CALIBRATION_C, CALIBRATION_CLIP = 1e6, 1e-6
@@ -147,8 +147,9 @@ def calibration_from_counts(counts: DataFrame, group_cols: Sequence[str], score:
     A fixed number of Newton steps from zero, unrolled in one lazy plan: a step
     joins the groups' parameters to their score rows and sums gradient and
     Hessian by group, with partial sums before the exchange. The slope has an L2
-    penalty of 1 / C. Null for a group with one class, with one logit, or whose
-    fit has not come to rest (classes that a threshold separates, for one).
+    penalty of 1 / C, which gives classes that a threshold separates a finite fit
+    too, after about 20 steps. Null for a group with one class, with one logit, or
+    whose fit has not come to rest.
     """
     g = list(group_cols)
     p = F.least(F.greatest(F.col(score).cast("double"), F.lit(CALIBRATION_CLIP)), F.lit(1 - CALIBRATION_CLIP))

@@ -578,7 +578,7 @@ FROM pred GROUP BY group_id"""
 
 
 #: Newton steps of a calibration fit, and the largest last step of one at rest.
-CALIBRATION_STEPS, CALIBRATION_REST = 12, 1e-6
+CALIBRATION_STEPS, CALIBRATION_REST = 24, 1e-6
 
 
 def calibration_cte(counts: str, keys: str, score: str) -> str:
