@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Salts over which a group's values are spread when they meet its bounds.
 SALTS = 32
 #: Distinct values of a group that one bucket is meant to hold, until there are ``n_buckets``.
-VALUES_PER_BUCKET = 512
+VALUES_PER_BUCKET = 32
 #: Accuracy of the bound sketch: a bound's rank is off by at most n / ACCURACY.
 ACCURACY = 10_000
 
