@@ -145,6 +145,35 @@ def test_lm_base_scores(docs, no_docs, monkeypatch):
     assert lm_scoring.score_texts(no_docs).count() == 0
 
 
+def test_lm_counts_cover_the_corpus(spark, monkeypatch):
+    """Tallies over all texts equal a count in one place, whatever the blocks and partitions."""
+    monkeypatch.setattr("horizonkit.llm.lm_scoring.BLOCK_TOKENS", 7)
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 30, n).tolist() for n in (0, 1, 2, 50, 0, 9, 23)]
+    rows = spark.createDataFrame([(t,) for t in texts], "ids array<int>").repartition(3)
+    end = lm_scoring.END_ID
+    pairs, ids = Counter(), Counter()
+    for t in texts:
+        around = [end, *t, end]
+        pairs.update((a % 32, b % 32) for a, b in zip(around, around[1:]))
+        ids.update(around[1:])
+    got = lm_scoring.corpus_tally(rows, lambda x: x[:-1] % 32 * 32 + x[1:] % 32, 1024)
+    assert {(i // 32, i % 32): int(got[i]) for i in np.flatnonzero(got)} == pairs
+    got = lm_scoring.corpus_tally(rows, lambda x: x[1:], end + 1)
+    assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == ids
+
+
+def test_lm_weights_are_averaged_by_windows():
+    from horizonkit.llm import attention_lm
+
+    flat = {k: v.ravel() for k, v in attention_lm.first_weights().items()}
+    low, high = ({k: np.full_like(v, x) for k, v in flat.items()} for x in (1, 4))
+    (a,), (b,) = (list(lm_scoring._flat(w, n)) for w, n in ((low, 2), (high, 1)))
+    assert len(a) == sum(v.size for v in flat.values())
+    mean = (np.array(a["v"]) + np.array(b["v"])) / (np.array(a["w"]) + np.array(b["w"]))
+    assert (mean == 2).all()
+
+
 def test_attention_model_is_a_distribution():
     from horizonkit.llm import attention_lm
 
