@@ -20,14 +20,14 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder (compressed by ``codec``) and read it back.
 
     Cuts the lineage with a table all executors can read again, so a lost
     executor costs only its running tasks.
     """
     path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
