@@ -2,24 +2,27 @@
 
 Plan shape (single task):
 
-    visits --filter(BL, id)--> partial min_by per PATNO --> baselines (1 row/subject)
-    visits --filter(id,date,score), 4 cols--> join baselines ON PATNO
-           --> Follow_Up_Days = floor(duration / 1 day), residual range filter
-           --> partial min_by(payload, (distance, date, event nulls last, ROW_ID))
+    visits --hash aggregate per PATNO--> earliest usable baseline date, visit count
+    visits --filter(id,date,score), 5 cols + baseline payload--> join dates ON PATNO
+           --> Follow_Up_Days = floor(duration / 1 day), baseline rows and rows in range
+           --> partial min_by of baseline (ROW_ID) and of target
+               (distance, date, event nulls last, ROW_ID)
            --> final min_by per PATNO
 
 * Top-1 per subject is ``min_by`` over a struct key, which aggregates
   partially before the exchange: the shuffle carries at most one row per
   subject per map task, whatever the number of visits of a hot subject.
-* The follow-up side is cut to (PATNO, EVENT_ID, VISIT_DATE, SCORE, ROW_ID)
-  *before* the join; predictors can only come from the baseline row.
+* The features move on baseline rows only; predictors can only come from the
+  baseline row.
 * The range condition is a residual predicate of the equi-join on PATNO.
 * The multi-task variant matches the candidates once with the distinct
   windows of the task list (a literal array) and groups by (window, PATNO);
   the chosen rows then join the task list on its window.
 * Hot subjects (more visits than an average partition) are split over salts
-  in the visits x baseline join (``operators.skew``); the per-subject
-  baseline table that counts visits is materialised once and reused.
+  in the visits x baseline join (``operators.skew``); the per-subject table
+  that counts visits is materialised once and reused.
+* Visits that come from joins are staged as Parquet (``read_once``), so that
+  both passes read the columns they need and the sources are read once.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from horizonkit.functions.expressions import (
 )
 from horizonkit.operators.skew import hot_from_counts, salt_big_side, salt_small_side, split_hot_keys
 from horizonkit.plans.grid import TaskSpec, task_grid_frame
-from horizonkit.session import checkpoint_dir
+from horizonkit.session import checkpoint_dir, staged_rows
 
 CORE = ("PATNO", "EVENT_ID", "VISIT_DATE", "SCORE")
 
@@ -63,19 +66,23 @@ def prepare_visits(visits: DataFrame, feature_columns: Sequence[str] = ()) -> Da
     )
 
 
+def _pairing_rows(visits: DataFrame, feature_columns: Sequence[str], read_once: bool) -> DataFrame:
+    """The coerced rows with a subject id; staged, so that the pairing reads their source once."""
+    columns = dict.fromkeys([*CORE, "ROW_ID", *feature_columns])
+    rows = prepare_visits(visits, feature_columns).select(*columns).filter(F.col("PATNO").isNotNull())
+    return staged_rows(rows, "visits") if read_once else rows
+
+
 def baseline_table(
     visits: DataFrame,
     baseline_event_ids: Sequence[str] = ("BL",),
     feature_columns: Sequence[str] = (),
-    keep_visit_counts: bool = False,
 ) -> DataFrame:
     """One row per subject that has a baseline-labelled visit (WIN1).
 
     ``usable`` is true when the earliest baseline with date and score exists;
     then ``Baseline_Date`` / ``Baseline_Score`` / features come from it.
-    Ties on date are broken by ``ROW_ID`` (input order). With
-    ``keep_visit_counts`` the aggregate runs over all visits and also returns
-    ``_n_visits`` per subject (used to find hot subjects).
+    Ties on date are broken by ``ROW_ID`` (input order).
     """
     events = [str(e).strip().upper() for e in baseline_event_ids]
     is_bl = F.coalesce(F.col("EVENT_ID").isin(events), F.lit(False))
@@ -86,57 +93,75 @@ def baseline_table(
         *[F.col(c) for c in feature_columns],
     )
     order_key = F.when(is_bl & usable, F.struct("VISIT_DATE", "ROW_ID"))
-    src = visits.filter(F.col("PATNO").isNotNull())
-    # min_by over a struct is a sort-based aggregate: run it on baseline rows
-    # only; visit counts (a cheap hash aggregate) come from all rows.
-    best = src.filter(is_bl).groupBy("PATNO").agg(
+    best = visits.filter(F.col("PATNO").isNotNull() & is_bl).groupBy("PATNO").agg(
         F.min_by(payload, order_key).alias("b"),
         F.count(order_key).alias("n_usable"),
     )
-    out = best.select("PATNO", (F.col("n_usable") > 0).alias("usable"), "b.*")
-    if keep_visit_counts:
-        counts = src.groupBy("PATNO").agg(F.count(F.lit(1)).alias("_n_visits"))
-        out = out.join(counts, "PATNO", "inner")
-    return out
+    return best.select("PATNO", (F.col("n_usable") > 0).alias("usable"), "b.*")
+
 
+def _is_baseline(events: Sequence[str]) -> Column:
+    return F.coalesce(F.col("EVENT_ID").isin([str(e).strip().upper() for e in events]), F.lit(False))
 
-def _baselines_and_hot(prepared: DataFrame, events: Sequence[str], feature_columns: Sequence[str]):
-    """Baselines materialised once (reliable checkpoint) + hot subjects.
 
-    The per-subject table is reused by the pairing join, the ledger and the
-    hot-key check, so it is computed once; the hot list is bounded by the
-    number of shuffle partitions (``operators.skew``).
+def _baselines_and_hot(rows: DataFrame, events: Sequence[str]):
+    """Baseline dates materialised once (reliable checkpoint) + hot subjects.
+
+    One hash aggregate over fixed-width columns: per subject with a baseline
+    event, whether a usable one exists, its earliest date and the number of
+    visits. The table is reused by the pairing join, the ledger and the hot-key
+    check; the hot list is bounded by the number of shuffle partitions.
     """
-    checkpoint_dir(prepared.sparkSession)
-    baselines = baseline_table(prepared, events, feature_columns, keep_visit_counts=True).checkpoint()
+    checkpoint_dir(rows.sparkSession)
+    is_bl = _is_baseline(events)
+    usable = is_bl & F.col("VISIT_DATE").isNotNull() & F.col("SCORE").isNotNull()
+    per_subject = rows.groupBy("PATNO").agg(
+        F.count_if(is_bl).alias("_n_baseline"),
+        F.count_if(usable).alias("_n_usable"),
+        F.min(F.when(usable, F.col("VISIT_DATE"))).alias("Baseline_Date"),
+        F.count(F.lit(1)).alias("_n_visits"),
+    )
+    baselines = per_subject.filter(F.col("_n_baseline") > 0).select(
+        "PATNO", (F.col("_n_usable") > 0).alias("usable"), "Baseline_Date", "_n_visits"
+    ).checkpoint()
     hot = hot_from_counts(baselines.filter("usable"), "PATNO", "_n_visits")
     return baselines.drop("_n_visits"), hot
 
 
 def _candidates(
-    visits: DataFrame,
+    rows: DataFrame,
     baselines: DataFrame,
+    events: Sequence[str],
     feature_columns: Sequence[str],
-    lower: int | Column,
-    upper: int | Column,
+    lower: int,
+    upper: int,
     hot: dict | None = None,
 ) -> DataFrame:
-    follow_up = visits.filter(
-        F.col("PATNO").isNotNull() & F.col("VISIT_DATE").isNotNull() & F.col("SCORE").isNotNull()
-    ).select("PATNO", "EVENT_ID", "VISIT_DATE", "SCORE", "ROW_ID")
-    base = baselines.filter("usable").select(
-        "PATNO", "Baseline_Date", "Baseline_Score", *feature_columns
+    """Rows that can decide a pair: the subject's baseline rows and follow-ups in range.
+
+    ``_b`` is the baseline payload on rows at the baseline date with a baseline
+    event (null on follow-ups, so predictors move for baseline rows only).
+    """
+    payload = F.struct(F.col("SCORE").alias("Baseline_Score"), *[F.col(c) for c in feature_columns])
+    points = rows.filter(F.col("VISIT_DATE").isNotNull() & F.col("SCORE").isNotNull()).select(
+        "PATNO", "EVENT_ID", "VISIT_DATE", "SCORE", "ROW_ID",
+        F.when(_is_baseline(events), payload).alias("_b"),
     )
+    base = baselines.filter("usable").select("PATNO", "Baseline_Date")
     if hot:
         # hot subjects: visits spread over salts, their baseline row copied per salt
-        joined = salt_big_side(follow_up, "PATNO", hot, ["ROW_ID"]).join(
+        joined = salt_big_side(points, "PATNO", hot, ["ROW_ID"]).join(
             salt_small_side(base, "PATNO", hot), ["PATNO", "_salt"], "inner"
         ).drop("_salt")
     else:
-        joined = follow_up.join(base, "PATNO", "inner")
+        joined = points.join(base, "PATNO", "inner")
     days = whole_days("VISIT_DATE", "Baseline_Date")
-    return joined.withColumn("Follow_Up_Days", days).filter(
-        (F.col("Follow_Up_Days") > 0) & F.col("Follow_Up_Days").between(lower, upper)
+    at_baseline = F.col("VISIT_DATE") == F.col("Baseline_Date")
+    return joined.withColumns(
+        {"Follow_Up_Days": days, "_b": F.when(at_baseline, F.col("_b"))}
+    ).filter(
+        F.col("_b").isNotNull()
+        | ((F.col("Follow_Up_Days") > 0) & F.col("Follow_Up_Days").between(lower, upper))
     )
 
 
@@ -146,24 +171,28 @@ def _select_nearest(
     feature_columns: Sequence[str],
     group_keys: Sequence[str] = ("PATNO",),
 ) -> DataFrame:
-    distance = F.abs(F.col("Follow_Up_Days") - horizon_days)
+    """One row per group that has a follow-up: first baseline row by ROW_ID, nearest follow-up."""
+    follow = F.col("_b").isNull()
     order_key = F.struct(
-        distance.alias("d"),
+        F.abs(F.col("Follow_Up_Days") - horizon_days).alias("d"),
         F.col("VISIT_DATE"),
         F.col("EVENT_ID").isNull().alias("event_missing"),
         F.col("EVENT_ID"),
         F.col("ROW_ID"),
     )
-    payload = F.struct(
+    target = F.struct(
         "Baseline_Date",
         F.col("VISIT_DATE").alias("Target_Date"),
         "Follow_Up_Days",
-        "Baseline_Score",
-        *feature_columns,
         F.col("SCORE").alias("Target_Score"),
     )
-    return candidates.groupBy(*group_keys).agg(F.min_by(payload, order_key).alias("t")).select(
-        *group_keys, "t.*"
+    best = candidates.groupBy(*group_keys).agg(
+        F.min_by("_b", F.when(~follow, F.struct("ROW_ID"))).alias("b"),
+        F.min_by(target, F.when(follow, order_key)).alias("t"),
+    )
+    return best.filter(F.col("t").isNotNull()).select(
+        *group_keys, "t.Baseline_Date", "t.Target_Date", "t.Follow_Up_Days", "b.Baseline_Score",
+        *[F.col("b").getField(c).alias(c) for c in feature_columns], "t.Target_Score",
     )
 
 
@@ -172,9 +201,12 @@ def fixed_horizon_pairs(
     horizon_days: int = 730,
     tolerance_days: int = 90,
     baseline_event_ids: Sequence[str] = ("BL",),
+    read_once: bool = True,
 ) -> DataFrame:
     """Short-form pairing: PATNO, Baseline_Score, Target_Score, Delta_Score."""
-    return fixed_horizon_result(visits, horizon_days, tolerance_days, baseline_event_ids).pairs
+    return fixed_horizon_result(
+        visits, horizon_days, tolerance_days, baseline_event_ids, read_once=read_once
+    ).pairs
 
 
 @dataclass
@@ -203,13 +235,19 @@ def fixed_horizon_result(
     tolerance_days: int = 90,
     baseline_event_ids: Sequence[str] = ("BL",),
     feature_columns: Sequence[str] = (),
+    read_once: bool = True,
 ) -> HorizonResult:
-    """JN3/JN4: nearest-in-window pairing with baseline-only covariates."""
+    """JN3/JN4: nearest-in-window pairing with baseline-only covariates.
+
+    Two passes over the visits (baseline dates, then pairs). ``read_once``
+    stages them first, which pays where they come from joins or text; a plain
+    scan of a few columns is better read twice.
+    """
     _validate_horizon(horizon_days, tolerance_days)
-    prepared = prepare_visits(visits, feature_columns)
-    baselines, hot = _baselines_and_hot(prepared, baseline_event_ids, feature_columns)
+    rows = _pairing_rows(visits, feature_columns, read_once)
+    baselines, hot = _baselines_and_hot(rows, baseline_event_ids)
     cands = _candidates(
-        prepared, baselines, feature_columns,
+        rows, baselines, baseline_event_ids, feature_columns,
         horizon_days - tolerance_days, horizon_days + tolerance_days, hot,
     )
     chosen = _select_nearest(cands, horizon_days, feature_columns)
@@ -298,6 +336,7 @@ def multi_task_result(
     visits: DataFrame,
     tasks: Sequence[TaskSpec],
     feature_columns: Sequence[str] = (),
+    read_once: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """JN5: every task of a grid in one pass.
 
@@ -313,11 +352,12 @@ def multi_task_result(
     feature_columns = list(dict.fromkeys(feature_columns))
     spark = visits.sparkSession
     grid = task_grid_frame(spark, list(tasks))
-    prepared = prepare_visits(visits, feature_columns)
-    baselines, hot = _baselines_and_hot(prepared, next(iter(event_sets)), feature_columns)
+    rows = _pairing_rows(visits, feature_columns, read_once)
+    events = next(iter(event_sets))
+    baselines, hot = _baselines_and_hot(rows, events)
     lo = min(t.horizon_days - t.tolerance_days for t in tasks)
     hi = max(t.horizon_days + t.tolerance_days for t in tasks)
-    cands = _candidates(prepared, baselines, feature_columns, lo, hi, hot)
+    cands = _candidates(rows, baselines, events, feature_columns, lo, hi, hot)
     # Tasks that differ by outcome only share their window: pair once per distinct
     # window (a literal array, no join), then fan the top-1 rows out to the tasks.
     windows = F.array(*[
@@ -325,7 +365,9 @@ def multi_task_result(
         for h, t in sorted({(t.horizon_days, t.tolerance_days) for t in tasks})
     ])
     near = F.filter(windows, lambda w: F.abs(F.col("Follow_Up_Days") - w["horizon_days"]) <= w["tolerance_days"])
-    in_window = cands.withColumn("_w", F.explode(near)).select("*", "_w.*").drop("_w")
+    # a subject's baseline rows take part in every window
+    of_row = F.when(F.col("_b").isNull(), near).otherwise(windows)
+    in_window = cands.withColumn("_w", F.explode(of_row)).select("*", "_w.*").drop("_w")
     nearest = _select_nearest(
         in_window, F.col("horizon_days"), feature_columns, ("horizon_days", "tolerance_days", "PATNO"),
     ).withColumn("Delta_Score", F.col("Target_Score") - F.col("Baseline_Score"))
@@ -401,6 +443,8 @@ def endpoint_delta_dataset(
     """
     require_columns(visits.columns, {"PATNO", "EVENT_ID", "VISIT_DATE", endpoint, "ROW_ID", *feature_columns},
                     f"Cannot build {endpoint} model")
+    needed = dict.fromkeys(["PATNO", "EVENT_ID", "VISIT_DATE", endpoint, "ROW_ID", *feature_columns])
+    visits = staged_rows(visits.select(*needed).filter(F.col(endpoint).isNotNull()), "endpoint")
     bl = visits.filter(
         F.col("EVENT_ID").isin(list(baseline_event_ids))
         & F.col(endpoint).isNotNull() & F.col("PATNO").isNotNull()

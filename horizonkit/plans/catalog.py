@@ -35,7 +35,8 @@ def register(name: str) -> Callable[[Query], Query]:
 def jn3_nearest_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.flagship_task()
     return horizon.fixed_horizon_pairs(
-        visit_table(spark, sf_dir, features=False, groups=False), t.horizon_days, t.tolerance_days
+        visit_table(spark, sf_dir, features=False, groups=False), t.horizon_days, t.tolerance_days,
+        read_once=False,
     )
 
 
@@ -56,20 +57,25 @@ def jn5_multi_task_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg4_horizon_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.flagship_task()
     res = horizon.fixed_horizon_result(
-        visit_table(spark, sf_dir, features=False, groups=False), t.horizon_days, t.tolerance_days
+        visit_table(spark, sf_dir, features=False, groups=False), t.horizon_days, t.tolerance_days,
+        read_once=False,
     )
     return res.summary()
 
 
 @register("agg4_grid_ledger")
 def agg4_grid_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, ledger = horizon.multi_task_result(visit_table(spark, sf_dir, features=False, groups=False), T.grid_tasks())
+    _, ledger = horizon.multi_task_result(
+        visit_table(spark, sf_dir, features=False, groups=False), T.grid_tasks(), read_once=False
+    )
     return ledger
 
 
 @register("agg16_retained_cohort")
 def agg16_retained_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, ledger = horizon.multi_task_result(visit_table(spark, sf_dir, features=False, groups=False), T.grid_tasks())
+    _, ledger = horizon.multi_task_result(
+        visit_table(spark, sf_dir, features=False, groups=False), T.grid_tasks(), read_once=False
+    )
     return (
         ledger.filter((F.col("flow_component") == "fixed_horizon") & (F.col("stage") == "fixed_horizon_follow_up"))
         .groupBy("task_id")
@@ -87,7 +93,8 @@ def win1_earliest_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prj12_progression_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.flagship_task()
     pairs = horizon.fixed_horizon_pairs(
-        visit_table(spark, sf_dir, features=False, groups=False), t.horizon_days, t.tolerance_days
+        visit_table(spark, sf_dir, features=False, groups=False), t.horizon_days, t.tolerance_days,
+        read_once=False,
     )
     return horizon.create_progression_label(pairs, T.PROGRESSION_THRESHOLD, check=False)
 
@@ -95,7 +102,7 @@ def prj12_progression_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("prj13_intraday_pairing")
 def prj13_intraday_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-day arithmetic on intraday stamps: events, horizon 7 +/- 2 days."""
-    res = horizon.fixed_horizon_result(event_visit_table(spark, sf_dir), 7, 2)
+    res = horizon.fixed_horizon_result(event_visit_table(spark, sf_dir), 7, 2, read_once=False)
     return res.feature_pairs.withColumn("Delta_Score", F.col("Target_Score") - F.col("Baseline_Score"))
 
 

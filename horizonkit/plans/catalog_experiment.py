@@ -98,5 +98,7 @@ def set1_ledger_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     from horizonkit.operators import horizon
     from horizonkit.plans.catalog import _cohort, _endpoint
 
-    _, grid_ledger = horizon.multi_task_result(visit_table(spark, sf_dir, features=False, groups=False), T.grid_tasks())
+    _, grid_ledger = horizon.multi_task_result(
+        visit_table(spark, sf_dir, features=False, groups=False), T.grid_tasks(), read_once=False
+    )
     return A.union_ledgers(_cohort(spark, sf_dir).flow, _endpoint(spark, sf_dir).flow, grid_ledger)

@@ -23,8 +23,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NullType, StructType
 
 DEFAULT_CONF: dict[str, str] = {
     "spark.sql.adaptive.enabled": "true",
@@ -85,3 +88,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
+
+def staged_rows(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet to the checkpoint folder and read back.
+
+    For tables that several branches of a plan read: their sources and joins
+    run once, and each branch prunes columns and pushes its filters into the
+    files. Columns of the void type have no Parquet form and are added again.
+    """
+    spark = df.sparkSession
+    kept = [f for f in df.schema.fields if not isinstance(f.dataType, NullType)]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{label}-{uuid.uuid4().hex}"
+    df.select(*[F.col(f"`{f.name}`") for f in kept]).write.parquet(path)
+    back = spark.read.schema(StructType(kept)).parquet(path)
+    return back.select(*[
+        F.lit(None).alias(f.name) if isinstance(f.dataType, NullType) else F.col(f"`{f.name}`")
+        for f in df.schema.fields
+    ])
