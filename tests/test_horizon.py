@@ -146,3 +146,21 @@ def test_column_and_parameter_guards(spark):
         horizon.fixed_horizon_result(full, 0, 30)
     with pytest.raises(ValueError):
         horizon.fixed_horizon_result(full, 365, -1)
+
+
+def test_staged_and_direct_pairings_agree_and_staged_ones_read_no_source(spark):
+    df = _visits(spark, [
+        # two baseline rows on one date: the lower ROW_ID gives score and feature
+        (1, "BL", 9.0, "2020-01-01", 4, 90.0), (1, "BL", 8.0, "2020-01-01", 2, 80.0),
+        (1, "BL", 7.0, "2020-06-01", 1, 70.0), (1, "V1", 3.0, "2020-12-31", 5, None),
+        (2, "BL", None, "2020-01-01", 6, 1.0), (2, "V1", 5.0, "2020-12-31", 7, 2.0),
+        (None, "BL", 1.0, "2020-01-01", 8, 3.0), (3, "BL", 1.0, "2020-01-01", 9, 4.0),
+    ], ", F double")
+    runs = [horizon.fixed_horizon_result(df, 365, 30, feature_columns=["F"], read_once=r) for r in (True, False)]
+    for res in runs:
+        rows = [r.asDict() for r in res.feature_pairs.collect()]
+        assert [(r["PATNO"], r["Baseline_Score"], r["F"], r["Target_Score"]) for r in rows] == [(1, 8.0, 80.0, 3.0)]
+        s = res.summary().first()
+        assert (s["baseline_patients"], s["usable_baseline_patients"], s["retained_patients"]) == (3, 2, 1)
+    files = runs[0].feature_pairs.inputFiles()
+    assert files and all("/staged-visits-" in f for f in files)
