@@ -99,3 +99,20 @@ def test_endpoint_delta_with_hot_subject(spark):
     out = horizon.endpoint_delta_dataset(df, "moca", (), ("BL",))
     assert out.count() == 1999 + 198 * 2
     assert out.filter(F.col("PATNO") == 1).agg(F.sum("moca_delta")).first()[0] == sum(range(1, 2000))
+
+
+def test_rows_without_a_subject_are_never_hot(spark):
+    from horizonkit.operators import cohort as C
+    from horizonkit.operators import skew
+
+    # most rows have no subject, and one subject is hot among the rest
+    rows = [(None, "PD", "BL", i) for i in range(900)] + [(1, "PD", "BL", i) for i in range(300)]
+    rows += [(p, "PD", "BL" if p % 2 else "V01", p) for p in range(2, 60)]
+    df = spark.createDataFrame(rows, "PATNO long, DIAGNOSTIC_GROUP string, EVENT_ID string, SCORE long")
+    counts = df.groupBy("PATNO").count()
+    assert list(skew.hot_from_counts(counts, "PATNO", "count", partitions=8)) == [1]
+    res = C.select_cohort(df)
+    kept = res.data.collect()
+    assert len(kept) == 300 + 29 and {r["PATNO"] for r in kept} == {1, *range(3, 60, 2)}
+    assert {r["stage"]: r["records_retained"] for r in res.flow.collect()} == {
+        "input": 1258, "valid_patient_identifier": 358, "eligible_diagnostic_group": 358, "baseline_eligible": 329}
