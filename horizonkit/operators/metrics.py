@@ -18,8 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from horizonkit.operators.quantiles import running_totals
 
@@ -140,30 +144,74 @@ CALIBRATION_TOLERANCE = 1e-6
 CALIBRATION_C, CALIBRATION_CLIP = 1e6, 1e-6
 
 
-def calibration_from_counts(counts: DataFrame, group_cols: Sequence[str], score: str,
-                            steps: int = CALIBRATION_STEPS) -> DataFrame:
-    """AGG11: intercept and slope of label ~ logit(clipped score) per group, from a (group, score, pos, neg) table.
-
-    A fixed number of Newton steps from zero, unrolled in one lazy plan: a step
-    joins the groups' parameters to their score rows and sums gradient and
-    Hessian by group, with partial sums before the exchange. The slope has an L2
-    penalty of 1 / C, which gives classes that a threshold separates a finite fit
-    too, after about 20 steps. Null for a group with one class, with one logit, or
-    whose fit has not come to rest.
+#: A group of at most so many distinct scores is fitted where its rows lie; the others are fitted by joins.
+CALIBRATION_ROWS = 50_000
+
+
+def _newton_fits(x: np.ndarray, pos: np.ndarray, w: np.ndarray, start: np.ndarray, steps: int) -> tuple[np.ndarray, ...]:
+    """Intercept, slope and whether the fit rests, of the groups that begin at the rows ``start``."""
+    size = np.diff(np.append(start, len(x)))
+    total = lambda v: np.add.reduceat(v, start)
+    ones = total(pos)
+    fits = (ones > 0) & (ones < total(w)) & (np.minimum.reduceat(x, start) < np.maximum.reduceat(x, start))
+    a, b, step = (np.zeros(len(start)) for _ in range(3))
+    with np.errstate(all="ignore"):
+        for _ in range(steps):
+            s = 1 / (1 + np.exp(-(np.repeat(a, size) + np.repeat(b, size) * x)))
+            r, h = w * s - pos, w * s * (1 - s)
+            g0, g1, h0, h1 = total(r), total(r * x) + b / CALIBRATION_C, total(h), total(h * x)
+            h2 = total(h * x * x) + 1 / CALIBRATION_C
+            det = h0 * h2 - h1 * h1
+            fits &= det > 0
+            da, db = (h2 * g0 - h1 * g1) / det, (h0 * g1 - h1 * g0) / det
+            a, b, step = np.where(fits, a - da, 0), np.where(fits, b - db, 0), np.maximum(np.abs(da), np.abs(db))
+    return a, b, fits & (step < CALIBRATION_TOLERANCE)
+
+
+def _fit_small_groups(data: DataFrame, g: list[str], steps: int) -> DataFrame:
+    """All steps of every group in one pass over the rows sorted by group; a task holds a batch and one group."""
+    schema = StructType([*[data.schema[c] for c in g], StructField("_a", DoubleType()), StructField("_b", DoubleType())])
+
+    def fitted(rows: pa.Table, start: np.ndarray) -> pa.RecordBatch:
+        a, b, rests = _newton_fits(*(rows[c].to_numpy() for c in ("_x", "pos", "_w")), start, steps)
+        keys = rows.select(g).take(pa.array(start)).combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [*[keys[c].combine_chunks() for c in g], pa.array(a, mask=~rests), pa.array(b, mask=~rests)], names=[*g, "_a", "_b"])
+
+    def fit(batches):
+        rest = None  # the last group's rows so far
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            if not len(rows):
+                continue
+            new = np.zeros(len(rows), bool)
+            for c in g:
+                new[1:] |= pc.not_equal(rows[c].slice(1), rows[c].slice(0, len(rows) - 1)).to_numpy()
+            new[0] = True
+            start = np.flatnonzero(new)
+            rest = rows.slice(start[-1])
+            if len(start) > 1:
+                yield fitted(rows.slice(0, start[-1]), start[:-1])
+        if rest is not None:
+            yield fitted(rest, np.zeros(1, np.int64))
+
+    return data.select(*g, "_x", "pos", "_w").repartition(*g).sortWithinPartitions(*g).mapInArrow(fit, schema)
+
+
+def _fit_large_groups(data: DataFrame, first: DataFrame, g: list[str], steps: int) -> DataFrame:
+    """Unrolled Newton steps: the groups' parameters meet their rows, gradient and Hessian are summed by group.
+
+    A large group's rows are spread. The parameters, one row per large group, are
+    broadcast, so each step is a stage of its own and no task runs several.
     """
-    g = list(group_cols)
-    p = F.least(F.greatest(F.col(score).cast("double"), F.lit(CALIBRATION_CLIP)), F.lit(1 - CALIBRATION_CLIP))
-    data = counts.select(*g, F.log(p / (1 - p)).alias("_x"), "pos", (F.col("pos") + F.col("neg")).alias("_w"))
-    fit = data.groupBy(*g).agg(
-        (F.sum("pos") > 0).alias("_has1"), (F.sum("pos") < F.sum("_w")).alias("_has0"),
-        (F.min("_x") < F.max("_x")).alias("_varies"),
-    ).select(*g, (F.col("_has1") & F.col("_has0") & F.col("_varies")).alias("_fits"), F.lit(0.0).alias("_a"),
-             F.lit(0.0).alias("_b"), F.lit(0.0).alias("_step"))
+    data = data.repartition(*g, "_x")
     x, a, b = F.col("_x"), F.col("_a"), F.col("_b")
+    fit = first.select(*g, "_fits", F.lit(0.0).alias("_a"), F.lit(0.0).alias("_b"), F.lit(0.0).alias("_step"))
     for _ in range(steps):
         s = 1 / (1 + F.exp(-(a + b * x)))
         r, h = F.col("_w") * s - F.col("pos"), F.col("_w") * s * (1 - s)
-        sums = data.join(fit, g).groupBy(*g).agg(
+        sums = data.join(F.broadcast(fit), g).groupBy(*g).agg(
             *[F.first(c).alias(c) for c in ("_fits", "_a", "_b")], F.sum(r).alias("_g0"), F.sum(r * x).alias("_g1"),
             F.sum(h).alias("_h0"), F.sum(h * x).alias("_h1"), F.sum(h * x * x).alias("_h2"))
         g1, h2 = F.col("_g1") + b / CALIBRATION_C, F.col("_h2") + 1 / CALIBRATION_C
@@ -174,7 +222,32 @@ def calibration_from_counts(counts: DataFrame, group_cols: Sequence[str], score:
         fit = sums.select(*g, open_.alias("_fits"), F.when(open_, a - da).alias("_a"), F.when(open_, b - db).alias("_b"),
                           F.when(open_, F.greatest(F.abs(da), F.abs(db))).alias("_step"))
     rests = F.col("_fits") & (F.col("_step") < CALIBRATION_TOLERANCE)
-    return fit.select(*g, F.when(rests, a).alias("calibration_intercept"), F.when(rests, b).alias("calibration_slope"))
+    return fit.select(*g, F.when(rests, a).alias("_a"), F.when(rests, b).alias("_b"))
+
+
+def calibration_from_counts(counts: DataFrame, group_cols: Sequence[str], score: str,
+                            steps: int = CALIBRATION_STEPS, small: int = CALIBRATION_ROWS) -> DataFrame:
+    """AGG11: intercept and slope of label ~ logit(clipped score) per group, from a (group, score, pos, neg) table.
+
+    A fixed number of Newton steps from zero in one lazy plan. Groups of at most
+    ``small`` scores take all their steps in one pass; larger ones, whose number
+    is below rows / ``small``, take each step by a join and a grouped sum with
+    their rows spread. The slope has an L2 penalty of 1 / C, which gives classes
+    that a threshold separates a finite fit too, after about 20 steps. Null for a
+    group with one class, with one logit, or whose fit has not come to rest.
+    """
+    g = list(group_cols)
+    p = F.least(F.greatest(F.col(score).cast("double"), F.lit(CALIBRATION_CLIP)), F.lit(1 - CALIBRATION_CLIP))
+    data = counts.select(*g, F.log(p / (1 - p)).alias("_x"), "pos", (F.col("pos") + F.col("neg")).alias("_w"))
+    data = data.dropna(subset=g)
+    large = data.groupBy(*g).agg(
+        F.count(F.lit(1)).alias("_rows"), (F.sum("pos") > 0).alias("_has1"), (F.sum("pos") < F.sum("_w")).alias("_has0"),
+        (F.min("_x") < F.max("_x")).alias("_varies"),
+    ).filter(F.col("_rows") > small).select(*g, (F.col("_has1") & F.col("_has0") & F.col("_varies")).alias("_fits"))
+    keys = F.broadcast(large.select(*g))
+    fit = _fit_small_groups(data.join(keys, g, "left_anti"), g, steps).unionByName(
+        _fit_large_groups(data.join(keys, g, "left_semi"), large, g, steps))
+    return fit.select(*g, F.col("_a").alias("calibration_intercept"), F.col("_b").alias("calibration_slope"))
 
 
 def classification_metrics(

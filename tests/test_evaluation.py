@@ -305,3 +305,23 @@ def test_training_medians_equal_plain_medians(spark):
         for k in range(1, 6):
             part = [v for _, f, y, c, v in rows if y == x and f != k for _ in range(c)]
             assert abs(got[x, k] - statistics.median(part)) < 1e-12
+
+
+def test_calibration_of_small_and_large_groups_agrees_without_chained_joins(spark):
+    from horizonkit.operators.metrics import calibration_from_counts
+
+    rows = [(g, k / 40, float((7 * k * (g + 1)) % 5), float((3 * k + g) % 4 + 1)) for g in range(30) for k in range(1, 40)]
+    rows += [(30, k / 40, 1.0, 0.0) for k in range(1, 40)] + [(None, 0.5, 1.0, 1.0)]
+    counts = spark.createDataFrame(rows, "g int, s double, pos double, neg double")
+    whole = {r["g"]: tuple(r)[1:] for r in calibration_from_counts(counts, ["g"], "s").collect()}
+    spread = {r["g"]: tuple(r)[1:] for r in calibration_from_counts(counts, ["g"], "s", small=10).collect()}
+    assert set(whole) == set(spread) == set(range(31)) and whole[30] == spread[30] == (None, None)
+    for g in range(30):
+        assert whole[g] == pytest.approx(spread[g], abs=1e-9)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # joins that share one partitioning all run in one task, each with memory of its own
+        plan = calibration_from_counts(counts, ["g"], "s")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("SortMergeJoin") <= 1
