@@ -325,3 +325,31 @@ def test_calibration_of_small_and_large_groups_agrees_without_chained_joins(spar
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert plan.count("SortMergeJoin") <= 1
+
+
+def test_poisson_sums_equal_row_by_row_draws(spark):
+    from pyspark.sql import functions as F
+
+    from horizonkit.operators import bootstrap as B
+
+    rows = [(("a", "b", None)[k % 3], k if k % 5 else 10**14 + k, float(k), None if k % 3 == 1 else k / 7) for k in range(200)]
+    stats = spark.createDataFrame(rows, "g string, patient_id long, n double, v double")
+    slow = B.expand_resamples(stats, None, None, ["g"], "patient_id", 12, 42, "poisson").groupBy("g", "b").agg(
+        F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("v")).alias("v"))
+    want = {(r["g"], r["b"]): (r["n"], r["v"]) for r in slow.collect()}
+    got = {(r["g"], r["b"]): (r["n"], r["v"]) for r in
+           B.poisson_sums(stats, ["g"], "patient_id", ["n", "v"], 12, 42).collect()}
+    assert got.keys() == want.keys() and len(got) == 39
+    for key, (n, v) in want.items():
+        assert got[key][0] == n and (got[key][1] is None if v is None else got[key][1] == pytest.approx(v))
+
+
+def test_md5_draws_match_hashlib():
+    import hashlib
+
+    from horizonkit.functions.digests import md5_draws
+
+    texts = [b"", b"7", b"-12", b"123456789", "é".encode(), b"x" * 49, b"y" * 50, b"z" * 90]
+    prefixes = [f"42:{b}:".encode() for b in (1, 20, 300, 1000)]
+    for prefix, draws in zip(prefixes, md5_draws(prefixes, texts), strict=True):
+        assert draws.tolist() == [int(hashlib.md5(prefix + t).hexdigest()[:8], 16) for t in texts]
