@@ -42,7 +42,7 @@ def split_points(rows: DataFrame, features: Sequence[str], bins: int = BINS) ->
     """
     counts = rows.select(*features).unpivot([], list(features), "feature", "value").groupBy("feature", "value").agg(
         F.count(F.lit(1)).alias("c")).withColumn("one", F.lit(1))
-    ranked = staged_rows(running_totals(counts, ["feature"], "value", ["c", "one"]), "splits")
+    ranked = staged_rows(running_totals(counts, ["feature"], "value", ["c", "one"], n_buckets=BINS), "splits")
     rank, middle = F.col("_upto_one"), F.col("_upto_c") - F.col("c") / 2
     passed = [F.min(F.when((rank > 1) & (middle > F.col("_total_c") * k / bins), rank)) for k in range(1, bins)]
     wanted: dict[str, list[int]] = {}

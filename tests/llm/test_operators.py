@@ -493,3 +493,26 @@ def test_stages_keep_clashing_columns_and_empty_tables(spark):
         assert {r[0]: tuple(r)[2:] for r in got.collect()} == {r[0]: r[2:] for r in rows}
         assert stage(spark, table.where("false"), "").collect() == []
     assert stages.pack_sequences(spark, table.where("false"), "").collect() == []
+
+
+def test_the_model_is_fitted_on_every_window_of_every_training_document(spark, monkeypatch):
+    """Documents whose hashes the former one-in-64 rounds left out move the weights, and a pass meets each window once."""
+    lm = lm_scoring.attention_lm
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 9, 40).astype(np.int32) for _ in range(30)]
+    counts = np.bincount(np.concatenate(texts), minlength=lm_scoring.END_ID + 1).astype(float)
+    slot = lm.slots(counts)
+    words = lm.vocabulary(counts, np.zeros((lm.PAD + 1, 2 * lm.KINDS)), lm_scoring.END_ID)
+    follow = lm.follow_table(np.zeros((lm.PAD + 1, lm.CLASSES)), words.share)
+    met, gradient = [], lm._gradient
+    monkeypatch.setattr(lm, "_gradient", lambda p, f, own, before, y: met.append(own) or gradient(p, f, own, before, y))
+    monkeypatch.setattr(lm, "BATCH", 16)
+    data = lm.windows(texts, words)
+    lm.fit(lm.first_weights(), follow, data, None)
+    assert sorted(map(tuple, np.concatenate(met))) == sorted(map(tuple, data[0])) and slot.max() > 0
+    for left_out in (0, 1):  # each round of its own moves them too
+        rows = [(64 * k + 2 + left_out, t.tolist()) for k, t in enumerate(texts)]
+        documents = spark.createDataFrame(rows, "hash long, ids array<int>")
+        start = lm.first_weights()
+        end = lm_scoring.averaged_fit(documents, start, follow, words)
+        assert not np.allclose(start["o"], end["o"])
