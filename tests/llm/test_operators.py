@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on messy and on empty tables."""
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -7,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -516,3 +518,90 @@ def test_the_model_is_fitted_on_every_window_of_every_training_document(spark, m
         start = lm.first_weights()
         end = lm_scoring.averaged_fit(documents, start, follow, words)
         assert not np.allclose(start["o"], end["o"])
+
+
+def _small_model(seed: int = 5):
+    """Texts over 300 ids, a vocabulary with all classes in use, its bigram table and weights that are nowhere zero."""
+    lm = lm_scoring.attention_lm
+    rng = np.random.default_rng(seed)
+    texts = [np.minimum(rng.zipf(1.3, n), 299).astype(np.int32) for n in (0, 1, 15, 16, 17, 200, 333)]
+    ids = lm.chained(texts, 300)
+    counts = np.bincount(np.concatenate((ids[1:], np.arange(301))), minlength=301).astype(float)
+    slot, n = lm.slots(counts), lm.PAD + 1
+    cells = np.bincount(lm.neighbour_cells(slot[ids]), minlength=n * 2 * lm.KINDS)
+    words = lm.vocabulary(counts, cells.reshape(n, -1), 300)
+    pairs = np.bincount(slot[ids[:-1]] * lm.CLASSES + words.cls[ids[1:]], minlength=n * lm.CLASSES).reshape(n, -1)
+    moved, words = lm.grouped(pairs, words)
+    assert (np.sort(moved, 1) == np.sort(pairs, 1)).all()
+    assert (np.bincount(slot[ids[:-1]] * lm.CLASSES + words.cls[ids[1:]], minlength=moved.size) == moved.ravel()).all()
+    weights = {k: v + rng.normal(0, 0.2, v.shape).astype(np.float32) for k, v in lm.first_weights().items()}
+    return lm, texts, words, lm.follow_table(moved, words.share), weights
+
+
+def test_two_level_classes_are_a_distribution():
+    """Groups and classes within them: the classes' probabilities sum to one; without weights they are the bigram table's."""
+    lm, _, words, follow, weights = _small_model()
+    rng = np.random.default_rng(0)
+    before, own = rng.integers(0, 300, (2, 4, lm.STEP))
+    for p in (weights, lm.first_weights()):
+        model = dataclasses.replace(lm.assemble(p, follow, words), cls=np.arange(lm.CLASSES))
+        logp = np.array([model._class_logp(own, before, np.full(own.size, c)) for c in range(lm.CLASSES)])
+        assert np.allclose(np.exp(logp).sum(0), 1, atol=1e-4)
+    assert np.allclose(logp, follow[own.ravel()].T, atol=1e-4)
+
+
+def test_gradient_is_that_of_the_scores():
+    lm, texts, words, follow, weights = _small_model()
+    data, n = lm.windows(texts, words), sum(len(t) + 1 for t in texts)
+    gradient = lm._gradient(weights, lm.two_level(follow), *data)
+    assert set(gradient) == set(weights)
+
+    def loss(p):
+        return -lm.assemble(p, follow, words).score(texts).sum() / n
+
+    for name, g in gradient.items():
+        size = np.linalg.norm(g)
+        up, down = (loss(weights | {name: weights[name] + np.float32(e / size) * g}) for e in (0.02, -0.02))
+        assert np.isclose((up - down) / 0.04, size, rtol=0.03), name
+
+
+def test_a_training_token_costs_its_group_and_not_all_classes(monkeypatch):
+    lm, texts, words, follow, weights = _small_model()
+    done, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: done.append(np.size(x)) or exp(x, *a, **k))
+    rounds = 40
+    lm.fit(weights, follow, lm.windows(texts, words), rounds)
+    assert sum(done) / (rounds * lm.BATCH * lm.STEP) < 100 < lm.CLASSES
+
+
+def test_words_and_packed_ids():
+    texts = ["  odd \t white\n \nspace \x1c end ", "", "   ", "ÀB İ ſ A\x0bZ\x0cé x\x85y", "one", "a b a"]
+    for part in (texts, texts[1:], texts[2:3], []):
+        words, sizes = lm_scoring.words_of(pa.array([*texts[:1], *part], pa.string()).slice(1))
+        ends = np.cumsum(sizes).tolist()
+        got = [words.to_pylist()[start:end] for start, end in zip([0, *ends], ends)]
+        assert got == [t.encode().lower().split() for t in part]
+    arrays = [np.array(a, np.int32) for a in ([1, 2], [], [70_000], [])]
+    packed = lm_scoring._packed(arrays)
+    for start in range(5):
+        assert [a.tolist() for a in lm_scoring._texts(packed.slice(start))] == [a.tolist() for a in arrays[start:]]
+
+
+def test_a_chunk_has_one_list_of_words_for_all_its_parts():
+    from horizonkit.llm.byte_bpe import ByteBpe
+
+    encoder = ByteBpe.shared(lm_scoring.public_tokenizers.path(lm_scoring.TOKENIZER))
+    chunk = lm_scoring._Chunk(7)
+    texts = ["b a", "", " a C \n c", "d b b"]
+    for at in (0, 1, 2, 3):
+        chunk.add(pa.RecordBatch.from_pydict({"doc_id": [at], "text": texts[at : at + 1], "held": [at == 3], "hash": [at]}))
+    docs, vocabulary = map(pa.RecordBatch.to_pydict, chunk.batches(encoder))
+    words = vocabulary["word"]
+    assert sorted(words) == [b"", b"a", b"b", b"c", b"d"] and words[0] == lm_scoring.END
+    assert dict(zip(words, vocabulary["n"])) == {b"": 3, b"a": 2, b"b": 1, b"c": 2, b"d": 0}
+    for k, text in enumerate(texts):
+        numbers, counts, ids = (np.frombuffer(docs[c][k], "<i4").tolist() for c in ("numbers", "counts", "ids"))
+        want = text.lower().encode().split()
+        assert Counter({words[n]: c for n, c in zip(numbers, counts)}) == Counter([*want, b""])
+        assert ids == (encoder.plain_ids(" " + " ".join(w.decode() for w in want)) if want else [])
+    assert docs["n_tokens"] == [3, 1, 4, 4] and docs["doc_id"] == [0, 1, 2, 3]
