@@ -353,3 +353,57 @@ def test_md5_draws_match_hashlib():
     prefixes = [f"42:{b}:".encode() for b in (1, 20, 300, 1000)]
     for prefix, draws in zip(prefixes, md5_draws(prefixes, texts), strict=True):
         assert draws.tolist() == [int(hashlib.md5(prefix + t).hexdigest()[:8], 16) for t in texts]
+
+
+def test_md5_draws_of_many_texts_and_many_prefixes_match_hashlib(monkeypatch):
+    import hashlib
+
+    from horizonkit.functions import digests
+
+    monkeypatch.setattr(digests, "LANES", 64)
+    prefixes = [f"42:{b}:".encode() for b in range(1, 130)]
+    for texts in ([], [b"5"], [b"5", b"5"], [b"1234567", b"1234568"], [str(k * 7919).encode() for k in range(500)],
+                  [b"a" * k for k in range(64)], [b"z" * 60] * 3, [b"x\0", b"x", b"\0"]):
+        drawn = list(digests.md5_draws(prefixes, texts))
+        assert len(drawn) == len(prefixes)
+        for prefix, draws in zip(prefixes, drawn):
+            assert draws.tolist() == [int(hashlib.md5(prefix + t).hexdigest()[:8], 16) for t in texts]
+
+
+def test_poisson_weights_are_those_of_the_bounds(monkeypatch):
+    bounds = [int(x, 16) for x in B._poisson_bounds()]
+    draws = np.array([0, 2**32 - 1, *[b + k for b in bounds for k in (-1, 0, 1) if b + k < 2**32]], np.uint32)
+    monkeypatch.setattr(B, "md5_draws", lambda prefixes, texts: [draws for _ in prefixes])
+    got = B._poisson_weights([b""], [b""] * len(draws), np.array(bounds, np.uint32))
+    assert got.tolist() == [[sum(int(d) > b for b in bounds) for d in draws]]
+
+
+def test_poisson_draws_are_shared_by_a_subjects_groups(spark, monkeypatch):
+    import pyarrow as pa
+
+    # subjects in two large groups, every ninth in a small one and some rows twice
+    rows = [(g, k, float(k), None if k % 4 == 1 or g == "c" else k / 7)
+            for k in range(300) for g in "abc" for _ in range(1 + (k % 50 == 0)) if g != "c" or k % 9 == 0]
+    stats = spark.createDataFrame(rows, "g string, patient_id long, n double, v double")
+    slow = B.expand_resamples(stats, None, None, ["g"], "patient_id", 40, 42, "poisson").groupBy("g", "b").agg(
+        F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("v")).alias("v"))
+    want = {(r["g"], r["b"]): (r["n"], r["v"]) for r in slow.collect()}
+    tasks, frame, map_in_arrow = [], type(stats), type(stats).mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema: tasks.append(f) or map_in_arrow(self, f, schema))
+    sums = B.poisson_sums(stats, ["g"], "patient_id", ["n", "v"], 40, 42)
+    got = {(r["g"], r["b"]): (r["n"], r["v"]) for r in sums.collect()}
+    assert got.keys() == want.keys() and len(got) == 3 * 41
+    for key, (n, v) in want.items():
+        assert got[key][0] == n and (got[key][1] is None if v is None else got[key][1] == pytest.approx(v))
+
+    drawn, draws = [], B.md5_draws  # a subject is drawn once for all its groups
+    monkeypatch.setattr(B, "md5_draws", lambda prefixes, texts: drawn.extend(texts) or draws(prefixes, texts))
+    table = pa.table({"g": [r[0] for r in rows], "_id": [str(r[1]) for r in rows], "n": [r[2] for r in rows],
+                      "v": pa.array([r[3] for r in rows], pa.float64())})
+    out = pa.Table.from_batches(tasks[0](iter(table.to_batches(max_chunksize=100)))).to_pylist()
+    assert sorted(drawn) == sorted(str(k).encode() for k in range(300))
+    for r in out:
+        assert (r["n"], r["v"]) == pytest.approx(want[r["g"], r["b"]])
+    # so that its rows meet, they are dealt by subject
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plan and plan.count("hashpartitioning(patient_id") >= 1
