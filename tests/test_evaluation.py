@@ -407,3 +407,18 @@ def test_poisson_draws_are_shared_by_a_subjects_groups(spark, monkeypatch):
     # so that its rows meet, they are dealt by subject
     plan = sums._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning" not in plan and plan.count("hashpartitioning(patient_id") >= 1
+
+
+def test_bucket_of_a_value_keeps_the_plan_short(spark):
+    from horizonkit.operators.quantiles import running_totals, with_buckets
+
+    rows = [(g, None if k % 90 == 7 else float((k * 37) % 500), 1.0) for g in (1, 2) for k in range(450)] + [(3, None, 1.0)]
+    df = spark.createDataFrame(rows, "g int, v double, w double")
+    for descending in (False, True):
+        got = with_buckets(df, ["g"], "v", 16, descending).collect()
+        assert len(got) == len(rows) and len({r["_bucket"] for r in got if r["g"] == 1 and r["v"] is not None}) > 8
+        assert all(r["_bucket"] is None for r in got if r["g"] == 3)
+        ordered = sorted((r for r in got if r["g"] == 1 and r["v"] is not None), key=lambda r: r["v"], reverse=descending)
+        assert [r["_bucket"] for r in ordered] == sorted(r["_bucket"] for r in ordered)
+        plan = running_totals(df, ["g"], "v", ["w"], descending)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan) < 50_000  # a filter pushed below the steps named each of them three times
